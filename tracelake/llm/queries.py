@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_counts
+from . import mixing, near_dedup, packing, token_counts
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_token_counts, op9_best_fit_packing)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_token_counts, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
@@ -56,4 +60,27 @@ p AS (
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - start)))::BIGINT AS taken
 FROM p""",
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+    ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS set
+  FROM w),
+x AS (SELECT doc_id, unnest(set) AS shingle FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM x JOIN x AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets AS s ON s.doc_id = a JOIN sets AS t ON t.doc_id = b
+  WHERE 100 * n_both >= 80 * (len(s.set) + len(t.set) - n_both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(set)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN component USING (doc_id)""",
 }
