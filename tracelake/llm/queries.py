@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, packing, token_counts
+from . import fingerprints, mixing, near_dedup, packing, quality, token_counts
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op7_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_token_counts, op7_paragraph_fingerprints, op9_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_token_counts, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
