@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality, token_counts
-from .common import read_table
+from . import chat, fingerprints, fixity, mixing, near_dedup, packing, quality, token_counts
+from .common import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +17,28 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages' archives in which some records are damaged and some are missing."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    copy = F.when(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)), F.sha2(fixity.warc_record(F.col("page_id"), F.col("url"), damaged), 256))
+    records = materialise(fixity.manifest(pages, copy.alias("copy")), "manifest")
+    replica = records.where("copy is not null").drop("digest").withColumnRenamed("copy", "digest")
+    return fixity.audit(records, replica)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against a version with another last answer."""
+    turns = read_table(spark, sf_dir, "conversations")
+    pairs = chat.preference_pairs(turns, chat.swapped_answers(turns))
+    sides = [f(F.col(c)).alias(f"{c}{end}") for c in ("chosen", "rejected") for f, end in ((chat.text_of, ""), (chat.mask_of, "_mask"))]
+    return pairs.select("conv_id", "n_common", "prompt", *sides)
+
+
 def op7_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op5_token_counts, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
@@ -91,4 +110,56 @@ reach AS (
 component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(set)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN component USING (doc_id)""",
+    "op4_merkle_fixity": r"""
+WITH p AS (
+  SELECT DISTINCT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CASE WHEN page_id % 97 = 13 THEN '?' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS copy
+  FROM pages),
+r AS (
+  SELECT page_id AS record_id, url,
+         'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || E'>\r\nWARC-Target-URI: ' || url
+           || E'\r\nContent-Type: text/html\r\nContent-Length: ' AS head, html, copy
+  FROM p),
+w AS (
+  SELECT record_id, replace(replace(head, '\r', chr(13)), '\n', chr(10)) || octet_length(encode(html)) || E'\r\n\r\n' || html || E'\r\n\r\n' AS record,
+         replace(replace(head, '\r', chr(13)), '\n', chr(10)) || octet_length(encode(copy)) || E'\r\n\r\n' || copy || E'\r\n\r\n' AS copied
+  FROM r),
+o AS (
+  SELECT record_id, (record_id // 256) * 1048576 AS archive, octet_length(encode(record))::BIGINT AS length, sha256(record) AS digest,
+         CASE WHEN record_id % 389 <> 7 THEN sha256(copied) END AS replica_digest
+  FROM w),
+f AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM o)
+SELECT record_id, archive, "offset", length, CASE WHEN replica_digest IS NULL THEN 'missing' ELSE 'changed' END AS status, digest, replica_digest
+FROM f WHERE digest IS DISTINCT FROM replica_digest""",
+    "op6_preference_format": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) AS k FROM t WHERE role = 'assistant'),
+l AS (SELECT conv_id, turn, text FROM ranked WHERE k = 1),
+s AS (
+  SELECT t.conv_id, t.turn, t.role, l.turn IS NOT NULL AND t.role = 'assistant' AS last, CASE WHEN l.turn IS NOT NULL AND t.role = 'assistant' THEN o.text ELSE t.text END AS text
+  FROM t LEFT JOIN l ON l.conv_id = t.conv_id AND l.turn = t.turn AND l.text = t.text AND t.role = 'assistant' LEFT JOIN l AS o ON o.conv_id = xor(t.conv_id, 1)),
+b AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM s WHERE text IS NOT NULL),
+c AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id,
+         min(coalesce(a.pos, b.pos)) FILTER (WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) - 1 AS differs,
+         count(a.pos) AS n, count(b.pos) AS m
+  FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.pos = b.pos GROUP BY ALL),
+n AS (SELECT conv_id, coalesce(differs, n)::INTEGER AS n_common FROM c WHERE n > 0 AND m > 0),
+parts AS (
+  SELECT 0 AS side, * FROM a UNION ALL BY NAME SELECT 1 AS side, * FROM b),
+r AS (
+  SELECT conv_id, n_common, side, pos, pos <= n_common AS common, '<|' || role || E'|>\n' AS head, text || E'<|end|>\n' AS body, role = 'assistant' AS learn
+  FROM parts JOIN n USING (conv_id)),
+m AS (
+  SELECT *, CASE WHEN learn THEN len(head) || ':0,' || len(body) || ':1' ELSE (len(head) + len(body)) || ':0' END AS mask FROM r)
+SELECT conv_id, n_common,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 0 AND common), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 0 AND NOT common), '') AS chosen,
+       coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (WHERE side = 0 AND NOT common), '') AS chosen_mask,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (WHERE side = 1 AND NOT common), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (WHERE side = 1 AND NOT common), '') AS rejected_mask
+FROM m GROUP BY conv_id, n_common""",
 }
