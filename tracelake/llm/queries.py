@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprints, fixity, mixing, near_dedup, packing, quality, token_counts
+from . import ann, chat, fingerprints, fixity, lm, mixing, near_dedup, packing, quality, token_counts
 from .common import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ann.valid_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.search(vectors, F.col("id") % 50 == 0, k=5)
@@ -60,7 +64,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
