@@ -3,11 +3,12 @@
 Each text's shingle hashes fall into as many bins as there are signature values; a bin's smallest
 hash is its value and an empty bin borrows from a bin that its own hash sequence picks (optimal
 densification). Texts with equal sets are one class from then on. A class has one bucket per band of
-values. Candidate edges are stars: every class of a bucket with one of its members. Edges are
-confirmed on full sets, joined classes become components, and buckets in which more than one
-component is left get stars around eight times as many members in each next round, until none has an
-untried pair across components. So all that the bands bring together is decided, while the pairs of
-a large group stay in proportion to its size.
+values. Candidate edges are stars: every class of a bucket with the one that shares most buckets with
+others. Edges are confirmed on full sets and joined classes become components. Where a bucket still
+holds more than one component, small buckets get the pairs across components that are left, and the
+classes of larger ones an exact prefix-filtered join: shingles in ascending order of frequency, a pair
+that is similar enough shares one so early in both that what follows can still make up the overlap.
+So all that the bands bring together is decided, while a large group's pairs stay in proportion to it.
 
 Defined cases
 - null or empty text, or white space only: no shingles, a component of its own, kept.
@@ -33,8 +34,8 @@ from .shingles import _odd, mix, shingle_sets
 #: Bands and values in each; a pair of similarity 0.8 shares no band once in 300,000 cases.
 BANDS, ROWS = 42, 6
 BIN_BITS = 8
-#: The first round's stars have one centre; each next round has so many times more.
-WIDER = 8
+#: Members of a bucket whose remaining pairs are tried directly.
+SMALL = 8
 
 _BINS = 1 << BIN_BITS
 #: For each attempt and bin, the bin that an empty one borrows from.
@@ -110,6 +111,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (cid, component) across components, among them all that are similar enough.
+
+    With sizes n and m the sets must share ``need`` = percent * (n + m) / (100 + percent) shingles. Taking
+    shingles in one order, the first shared one, at places i and j from 1, leaves at most n - i + 1 and
+    m - j + 1 to share. So only a set's first (100 - percent) % and one more can be that first one. In the
+    largest component, most of whose pairs are inside it, no pair is sought from both sides."""
+    chosen = materialise(nodes.join(sets, "cid").select("cid", "component", "hashes"), "chosen")
+    words = chosen.select("cid", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
+    often = words.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = words.join(often, "shingle").groupBy("cid", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    keep = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1
+    first = ranked.select("cid", "component", "n", F.posexplode(F.slice("all", F.lit(1), keep)).alias("at", "one")).select("cid", "component", "n", "at", "one.shingle", "one.often")
+    first = materialise(first.where("often > 1").drop("often"), "prefixes")
+    largest = chosen.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select(F.col("component").alias("largest"))
+    probes = first.join(F.broadcast(largest), F.col("component") == F.col("largest"), "left_anti")
+    other = first.select("shingle", F.col("cid").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    able = (F.col("n") - F.col("at") >= need) & (F.col("m") - F.col("to") >= need)
+    met = probes.join(other, "shingle").where((F.col("component") != F.col("other")) & able)
+    return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
     rows = materialise(signed_rows(docs, size), "signatures")
@@ -117,35 +141,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.explode("bands").alias("bucket"))
     # Most buckets have one member; only the others are looked at again.
-    shared = members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("cid").alias("centre")).where("many > 1")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     members = materialise(members.join(shared, "bucket"), "buckets")
+    degree = members.groupBy("cid").agg(F.sum("many").alias("degree"))
     wanted = members.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid")
     sets = materialise(class_sets(docs, wanted, size), "sets")
 
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    lone = members.select(F.col("cid").alias("a"), "n", "centre", "bucket")
-    centres = members.where("cid = centre").select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"))
-    tried = materialise(lone.join(centres, "bucket").where(fits).select(*pair).distinct(), "pairs")
+    centre = F.max(F.struct("degree", (-F.col("cid")).alias("least"), F.col("n").alias("m"))).alias("centre")
+    centres = members.join(degree, "cid").groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.least")).alias("b"), "centre.m")
+    tried = materialise(members.withColumnRenamed("cid", "a").join(centres, "bucket").where(fits).select(*pair).distinct(), "pairs")
     links = connected(confirmed(tried, sets, percent))
-    width = 1
-    while True:
-        width *= WIDER
-        named = members.join(links, "cid", "left").select("bucket", "cid", "n", "many", F.coalesce("component", "cid").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        named = materialise(named.join(mixed, "bucket"), "mixed")
-        # About ``width`` members of each bucket, and all of a smaller one, by a draw that widens each round.
-        drawn = F.pmod(F.xxhash64("cid", "bucket"), F.lit(1 << 20)) * F.col("many") < F.lit(width << 20)
-        centres = named.where(drawn | (F.col("many") <= width)).select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = named.withColumnRenamed("cid", "a").join(centres, "bucket").where(fits & (F.col("component") != F.col("other"))).select(*pair).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(confirmed(pairs, sets, percent), "found")
-        if not found.isEmpty():
-            links = connected(found.unionByName(links.select(F.col("cid").alias("a"), F.col("component").alias("b"))))
-        widest = named.agg(F.max("many")).first()[0] or 0
-        if widest <= width:
-            break
-        tried = tried.unionByName(pairs)
+
+    named = members.join(links, "cid", "left").select("bucket", "cid", "n", "many", F.coalesce("component", "cid").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    named = materialise(named.join(mixed, "bucket"), "mixed")
+    few = named.where(F.col("many") <= SMALL)
+    others = few.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    few = few.withColumnRenamed("cid", "a").join(others, "bucket").where(fits & (F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))).select("a", "b")
+    left = few.unionByName(prefix_pairs(named.where(F.col("many") > SMALL).select("cid", "component").distinct(), sets, percent)).distinct()
+    found = confirmed(materialise(left.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+    links = connected(found.unionByName(links.select(F.col("cid").alias("a"), F.col("component").alias("b"))))
 
     named = classes.join(links, "cid", "left").select("digest", "rep", F.coalesce("component", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
