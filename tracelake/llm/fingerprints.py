@@ -181,7 +181,8 @@ def _range_starts(docs: DataFrame, range_bytes: int) -> list[int]:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // range_bytes) + 1
     ids = docs.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id")
-    return sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())
+    firsts = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in firsts.collect())
 
 
 def successive(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
