@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = connected(found.unionByName(links.select(F.col("cid").alias("a"), F.col("component").alias("b"))))
 
     named = classes.join(links, "cid", "left").select("digest", "rep", F.coalesce("component", "cid").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    # Written first: a join of two plain exchanges can be split where one component has most of the rows.
+    least = materialise(named.groupBy("component").agg(F.min("rep").alias("component_id")), "components")
     of = named.join(least, "component").select("digest", "component_id")
     out = rows.join(of, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
