@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,7 +76,7 @@ def test_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
 
 def test_lm_windows_score_each_subword_once():
     r = np.random.default_rng(1)
-    model = lm.train([], r.integers(0, 9, lm.VOCABULARY_SIZE), lm.word_starts())
+    model = lm.untrained(r.integers(0, 9, lm.VOCABULARY_SIZE), lm.word_starts())
     lengths = [1, 31, 32, 33, 100]
     flat = np.concatenate([np.append(r.integers(0, 1000, n - 1), lm.END) for n in lengths])
     ends = np.cumsum(lengths)
@@ -91,6 +92,22 @@ def test_lm_windows_score_each_subword_once():
             assert math.isclose(have[begin + i], want, rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_attention_learns_from_whole_texts_in_several_tasks(spark):
+    text = " ".join(["one two three four five six seven"] * 3000)
+    texts = [text, None, "", *corpus()[:20]]
+    ids = np.concatenate(list(lm.training_runs(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))))
+    assert ids.tolist() == [i for t in texts for i in (lm.END, *lm.subwords(lm.words(t))[0].tolist(), lm.END)]
+    before = lm.untrained(np.bincount(ids, minlength=lm.VOCABULARY_SIZE), lm.word_starts())
+    assert all(np.array_equal(getattr(before.of_rows(before.rows()), w), getattr(before, w)) for w in before.WEIGHTS)
+    sample = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, text string")
+    after = lm.learn(sample, before, 3)
+    assert np.array_equal(after.rows(), lm.learn(sample.orderBy(F.desc("h")), before, 3).rows())
+    told = lm.subwords(lm.words(text))[0][:500]
+    told = [lm.log_probs(m, told, np.array([len(told)])).mean() for m in (before, after)]
+    assert told[1] > told[0] + 0.1
+    assert np.array_equal(lm.learn(sample.limit(0), before, 2).rows(), before.rows())
+
+
 def test_word_table_gives_what_encoding_gives():
     text = words_of(corpus()[-5] + " odd space 日本 naïve " + " ".join(corpus()[:5]))
     hot = {w: k + 1 for k, w in enumerate(sorted(set(text))[::2])}
