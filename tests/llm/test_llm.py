@@ -108,6 +108,34 @@ def test_attention_learns_from_whole_texts_in_several_tasks(spark):
     assert np.array_equal(lm.learn(sample.limit(0), before, 2).rows(), before.rows())
 
 
+def test_attention_learns_from_every_training_text(spark, monkeypatch):
+    rows = docs(spark, corpus()).withColumn("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")))
+    rows = rows.unionByName(rows.limit(7))
+    told, learn = [], lm.learn
+
+    def watched(sample, model, tasks, passes=lm.ROUNDS):
+        told.extend((k, r.text) for k in range(lm.ROUNDS) for r in sample.where(lm.in_round(F.col("h"), k, passes)).collect())
+        return learn(sample, model, tasks, passes)
+
+    monkeypatch.setattr(lm, "learn", watched)
+    monkeypatch.setattr(lm, "AT_LEAST", 0)
+    monkeypatch.setattr(lm, "LEAST_LEARNT", 1)
+    lm.lm_scores(rows)
+    assert Counter(t for _, t in told) == Counter(r.text for r in rows.where(~lm.held_out(F.col("doc_id"))).collect())
+    assert {k for k, _ in told} == set(range(lm.ROUNDS))
+
+
+@pytest.mark.parametrize("n", [2, 20, 33, 34, 100])
+def test_training_learns_the_end_of_a_run(n):
+    ids = np.random.default_rng(n).integers(0, 1000, n).astype(np.int32)
+    model = lm.untrained(np.bincount(ids, minlength=lm.VOCABULARY_SIZE), lm.word_starts())
+    before = model.of_rows(model.rows())
+    seen, windows = lm.improve(model, iter([ids]), lm.RATE)
+    assert np.array_equal(seen, np.bincount(ids[:-1], minlength=lm.VOCABULARY_SIZE)) and windows == -(-(n - 1) // lm.WINDOW)
+    changed = (model.embed != before.embed).any(axis=1)
+    assert set(np.flatnonzero(changed)) <= set(ids[:-1].tolist()) and changed[ids[-2]]
+
+
 def test_word_table_gives_what_encoding_gives():
     text = words_of(corpus()[-5] + " odd space 日本 naïve " + " ".join(corpus()[:5]))
     hot = {w: k + 1 for k, w in enumerate(sorted(set(text))[::2])}
