@@ -353,6 +353,27 @@ def test_near_duplicates(spark, size):
     assert have == {i: (len(sets[i]), root(i), root(i) == i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_class_has_one_set_however_often_its_rows_occur(spark, ids):
+    texts = [(k if ids else None, f"text {k}") for k in range(12)] * 2
+    rows = near_dedup.numbered(spark.createDataFrame(texts, "doc_id long, text string"))
+    first = {r.text: r._row for r in rows.orderBy(F.desc("_row")).collect()}
+    wanted = spark.createDataFrame([(k, first[f"text {k}"]) for k in range(12)], "cid long, rep long")
+    assert sorted(r.cid for r in near_dedup.class_sets(rows, wanted, 1).collect()) == list(range(12))
+
+
+def test_repeated_rows_of_a_large_bucket_are_linked(spark, monkeypatch):
+    r = random.Random(5)
+    # Neighbours are similar enough, others are not; in one bucket, whose stars reach only some of them.
+    words = [f"u{r.random()}" for _ in range(300)]
+    texts = [" ".join(words[10 * k : 10 * k + 100]) for k in range(12)]
+    monkeypatch.setattr(near_dedup, "BANDS", 1)
+    monkeypatch.setattr(near_dedup, "signature", lambda hashes: np.ones(near_dedup.ROWS, np.uint64))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
+    out = near_dedup.near_duplicates(rows, size=1).collect()
+    assert len(out) == 24 and {x.component_id for x in out} == {0}
+
+
 def test_pipeline(spark, sf_dir):
     docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.good_quality(spark, docs_, sf_dir)

@@ -63,14 +63,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, ``_row``; written, so that a row keeps its number however often it is read."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def signed_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): a digest of the whole set, null if empty, and its buckets."""
+    """(row, doc_id, n_shingles, digest, bands) of numbered rows: a digest of the whole set, null if empty, and its buckets."""
     factors, offset = _odd(ROWS), mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests, values = [], [], []
-            for hashes in shingle_sets(batch.column(1), size):
+            for hashes in shingle_sets(batch.column(2), size):
                 n.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 if len(hashes):
@@ -79,25 +84,20 @@ def signed_rows(docs: DataFrame, size: int) -> DataFrame:
             keys = mix((table * factors).sum(axis=2, dtype=np.uint64) + offset).view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.array(n) > 0))).astype(np.int32) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), bands], ["row", "doc_id", "n_shingles", "digest", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows = docs.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, hashes) for the classes in ``wanted`` (cid, rep, digest), from the texts of their ``rep``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "digest", "text")
+    """(cid, hashes), one row for each class in ``wanted`` (cid, rep), from the text of the row numbered ``rep``."""
+    rows = docs.select("_row", "text").join(wanted.hint("shuffle_hash"), F.col("_row") == F.col("rep")).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, sets = [], []
-            for cid, digest, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), size), strict=True):
-                if xxhash.xxh3_128_digest(hashes.tobytes()) == digest:  # else another text of the same doc_id
-                    cids.append(cid)
-                    sets.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "hashes"])
+            sets = [hashes.view(np.int64) for hashes in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "hashes"])
 
     return rows.mapInArrow(run, "cid long, hashes array<long>")
 
@@ -134,17 +134,19 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
+def _named_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, kept) of numbered rows."""
     rows = materialise(signed_rows(docs, size), "signatures")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # The first row of a class: by doc_id, those without one last, then by number.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    classes = rows.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("rep", F.col("first.row"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.explode("bands").alias("bucket"))
     # Most buckets have one member; only the others are looked at again.
     shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     members = materialise(members.join(shared, "bucket"), "buckets")
     degree = members.groupBy("cid").agg(F.sum("many").alias("degree"))
-    wanted = members.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid")
+    wanted = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
     sets = materialise(class_sets(docs, wanted, size), "sets")
 
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
@@ -164,12 +166,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = confirmed(materialise(left.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent)
     links = connected(found.unionByName(links.select(F.col("cid").alias("a"), F.col("component").alias("b"))))
 
-    named = classes.join(links, "cid", "left").select("digest", "rep", F.coalesce("component", "cid").alias("component"))
+    named = classes.join(links, "cid", "left").select("digest", "first", F.coalesce("component", "cid").alias("component"))
     # Written first: a join of two plain exchanges can be split where one component has most of the rows.
-    least = materialise(named.groupBy("component").agg(F.min("rep").alias("component_id")), "components")
-    of = named.join(least, "component").select("digest", "component_id")
-    out = rows.join(of, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = F.min(F.struct("first.no_id", "first.doc_id", "digest", "first.row")).alias("best")
+    least = materialise(named.groupBy("component").agg(best).select("component", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("stays")), "components")
+    of = named.join(least, "component").select("digest", "component_id", "stays")
+    none = F.col("digest").isNull()
+    return rows.join(of, "digest", "left").select("row", "doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (none | (F.col("row") == F.col("stays"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
+    return _named_rows(numbered(docs.select("doc_id", "text")), size, percent).drop("row").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
