@@ -371,7 +371,19 @@ def test_repeated_rows_of_a_large_bucket_are_linked(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "signature", lambda hashes: np.ones(near_dedup.ROWS, np.uint64))
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
     out = near_dedup.near_duplicates(rows, size=1).collect()
-    assert len(out) == 24 and {x.component_id for x in out} == {0}
+    assert len(out) == 24 and {x.component_id for x in out} == {0} and sum(x.kept for x in out) == 1
+
+
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    def group(g):
+        words = [f"{g}{i}" for i in range(200)]
+        return " ".join(words[:100]), " ".join([*words[:99], "z"]), " ".join(words[100:])
+
+    (a, near_a, _), (b, near_b, _), (c, near_c, _), (d, near_d, other) = map(group, "abcd")
+    rows = [(1, a)] * 3 + [(2, near_a)] * 2 + [(None, b), (None, near_b), (None, b)] + [(None, c), (7, near_c), (None, c)] + [(11, d), (12, near_d), (12, other)] + [(20, "")] * 2 + [(None, None)]
+    kept = Counter((x.doc_id, x.text) for x in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept.pop((None, b), 0) + kept.pop((None, near_b), 0) == 1
+    assert kept == Counter({(1, a): 1, (7, near_c): 1, (11, d): 1, (12, other): 1, (20, ""): 2, (None, None): 1})
 
 
 def test_pipeline(spark, sf_dir):

@@ -12,8 +12,8 @@ So all that the bands bring together is decided, while a large group's pairs sta
 
 Defined cases
 - null or empty text, or white space only: no shingles, a component of its own, kept.
-- Rows that share a doc_id (repeated rows): each gets the component of its own text.
-- Null doc_id: takes part; it is a component's id only if no member has one.
+- Rows that share a doc_id (repeated rows): each gets the component of its own text; one row of a component is kept.
+- Null doc_id: takes part; it is a component's id only if no member has one, and one row is kept then too.
 - Empty table: no rows. Columns other than doc_id and text are not read.
 """
 
@@ -177,10 +177,15 @@ def _named_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
-    return _named_rows(numbered(docs.select("doc_id", "text")), size, percent).drop("row").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _named_rows(numbered(docs.select("doc_id", "text")), size, percent).drop("row")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose component another document stands for."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` without those whose component another row stands for.
+
+    One row of each component stays: that of the least doc_id, rows without one last, then by the digest
+    of its set, then by number. So of repeated rows one stays, of a component without any doc_id too, and
+    of two texts under one doc_id only the one that is another's copy goes. Texts without shingles all stay."""
+    docs = numbered(docs)
+    gone = _named_rows(docs, size, percent).where("not kept").select(F.col("row").alias("_gone"))
+    return docs.join(gone.hint("shuffle_hash"), docs["_row"] == F.col("_gone"), "left_anti").drop("_row")
