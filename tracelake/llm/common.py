@@ -39,12 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage ends there, and an
-    executor that is lost takes nothing with it."""
+    executor that is lost takes nothing with it. ``by``: a column whose values get a folder each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
