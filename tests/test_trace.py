@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import parse, registers, terms, u64
 from tracelake.functions.render import fixed_width, memory_value
 from tracelake.operators import lineage, search, state, tables
-from tracelake.plans import twins
+from tracelake.plans import log_twins, twins
 from tracelake.plans.trace import Trace
 from tracelake.sources import logs, store
 
@@ -119,13 +119,18 @@ def test_empty_log(spark, tmp_path):
 
 
 def changes(spark, line):
-    return [(c.register, c.old_value, c.new_value) for c in one(spark, parse.register_changes(F.col("l")), l=line)]
+    rows = parse.with_snapshots(spark.createDataFrame([(line,)], "raw_line string"))
+    return [(c.register, c.old_value, c.new_value) for c in rows.first().changes]
+
+
+def fields_of(spark, line):
+    return parse.with_instruction_fields(spark.createDataFrame([(line,)], "line string")).first().fields
 
 
 def operation(spark, operands, comment, mnemonic="ldr"):
     line = f'[m 0x1] 0x1000: "{mnemonic} {operands}" {comment}'
     rows = spark.createDataFrame([(line, mnemonic, operands, "0x1000")], "raw_line string, mnemonic string, operands string, address string")
-    return parse.with_inferred_operation(rows).first().inferred
+    return parse.with_effects(rows).first().inferred
 
 
 def test_lines(spark):
@@ -133,9 +138,9 @@ def test_lines(spark):
     assert changes(spark, '[m 0x1] 0x10: "mov x0, x1" x0=0x1 => x0=0x1, x1=0x2') == [("X1", "", "0x2")]
     assert changes(spark, '[m 0x1] 0x10: "mov" x0=1 => x0=2 ; X5=0x0 -> 0x1') == [("X5", "0x0", "0x1")]
     assert changes(spark, "0x1\t0x2\tadd x0, x0 ; X0=0x1 -> 0x1") == [("X0", "0x1", "0x1")]
-    fields = one(spark, parse.instruction_fields(F.col("l")), l='[tag] 0x10: "ldr x0, [sp, #0x20]" x0=0x1 => x0=0x2')
+    fields = fields_of(spark, '[tag] 0x10: "ldr x0, [sp, #0x20]" x0=0x1 => x0=0x2')
     assert fields.asDict() == {"address": "0x10", "offset": "0x20", "mnemonic": "ldr", "operands": "x0, [sp, #0x20]", "comment": "x0=0x1 => x0=0x2"}
-    assert one(spark, parse.instruction_fields(F.col("l")), l="0x1\t0x2") is None
+    assert fields_of(spark, "0x1\t0x2") is None
     assert one(spark, parse.dump_line(F.col("l")), l="*7fe0 34 12 |4.|").asDict() == {"address": "7fe0", "data": ["34", "12"], "is_modified": True}
     assert one(spark, parse.dump_line(F.col("l")), l="* 7fe0 34 12 |4.|") is None
 
@@ -224,7 +229,7 @@ def test_taint_equals_the_greedy_walk(spark, seed):
     r = random.Random(seed)
     ops = [(i, r.randrange(5), [r.randrange(5) for _ in range(r.randrange(3))]) for i in range(50)]
     line = lambda i, d, s: f'[m 0x1] 0x{i:x}: "add x{d}, {", ".join(f"x{x}" for x in s) or "#1"}" x{d}=0x0 => x{d}=0x1'
-    lines = spark.createDataFrame([(i, i, line(*op)) for i, *op in [(i, i, d, s) for i, d, s in ops]], "idx long, file_offset long, line string")
+    lines = spark.createDataFrame([(i, i, 0, i, line(*op)) for i, *op in [(i, i, d, s) for i, d, s in ops]], "idx long, file_offset long, split int, at long, line string")
     trace = Trace.of(logs.instructions(logs.classified(lines)).persist())
     for steps in (3, 100):
         tainted, want, cursor = {2}, [], 40
@@ -247,6 +252,6 @@ def test_overlapping_writes(spark):
     assert have == want
 
 
-@pytest.mark.parametrize("name", sorted(twins.ORACLES))
+@pytest.mark.parametrize("name", sorted(twins.ORACLES | log_twins.ORACLES))
 def test_queries_match_their_sql(spark, sf_dir, name):
-    assert_same(spark, sf_dir, twins.QUERIES[name], twins.ORACLES[name])
+    assert_same(spark, sf_dir, (twins.QUERIES | log_twins.QUERIES)[name], (twins.ORACLES | log_twins.ORACLES)[name])

@@ -5,10 +5,10 @@ LEGACY_CHANGE = r"(\w+)=([^\s,]+?)\s*->\s*([^\s,]+)"
 ASSIGNMENT = r"\b([A-Za-z][\w.]*)\s*=\s*([^\s,]+)"
 TRANSITION = r"\b([A-Za-z][\w.]*)\s*=\s*([^\s,]+?)\s*->\s*([^\s,]+)"
 STRING_HINT = r'\b([A-Za-z][\w.]*)\s*=\s*[^\s,]+\s*\(string:\s*"([^"]*)"\)'
-TRACE_PART = r'(?s):\s*"[^"]*"\s*(.*)$'
-BRACKETED = r'(?s)^(?:\[[^\]]+\]\s*)+\s*(0x[0-9a-fA-F]+):\s*"([^"]*)"(?:\s*(.*))?$'
-BRACKET_GROUP = r"\[([^\]]+)\]"
-GROUP_OFFSET = r"(0x[0-9a-fA-F]+)\s*$"
+BEFORE_TRACE_PART = r'(?s)^.*?:\s*"[^"]*"\s*'
+BRACKETS = r"^(?:\[[^\]]+\]\s*)+"
+QUOTED = r'^0x[0-9a-fA-F]+:\s*"[^"]*"'
+BRACKET_OFFSET = r"\[[^\]]*?(0x[0-9a-fA-F]+)\s*\]"
 SHIFT_AMOUNT = r"#\s*(-?0x[0-9a-fA-F]+|-?\d+)"
 MEMORY_WRITE = r"(?i)memory write at (0x[0-9a-f]+), instruction address = (0x[0-9a-f]+), data size = (\d+), data value = ([0-9a-f]+)"
 MEMORY_READ = r"(?i)memory read at (0x[0-9a-f]+), instruction address = (0x[0-9a-f]+), data size = (\d+), data value = ([0-9a-f]+)"
@@ -18,12 +18,6 @@ INITIAL_SP = r"(?i)Original SP:\s*(0x[0-9a-f]+)"
 OPERAND_REGISTER = r"(?i)\b([xw]\d+|sp|fp|lr|xzr|wzr)\b"
 ZERO_REGISTERS = ("XZR", "WZR", "ZR")
 LABELS = {
-    "exact": "exact byte match", "overlap": "overlap byte match", "address": "address overlap",
-    "scan_exact": "字节精确匹配", "scan_overlap": "重叠字节匹配", "scan_address": "地址重叠",
+    "exact": "exact byte match", "overlap": "overlap byte match", "address": "address overlap", "scan_address": "地址重叠",
 }
 SCOPES = {"comment": "寄存器/注释", "operands": "操作数", "memory": "内存数据", "dump": "内存Dump", "raw": "原始行"}
-EVENT_DETAIL = {"load": "读取结果: ", "write": " | 写入源寄存器: ", "calc": "计算链: 命中写寄存器 ", "calc_reads": "; 读取寄存器 "}
-MESSAGES = {
-    "position": "无效位置或解析器未初始化", "no_load": "当前行附近未找到与目标寄存器相关的内存读取",
-    "no_write": "未找到匹配的历史写入（可能超出回溯范围或日志缺少写入数据）", "ok": "ok",
-}

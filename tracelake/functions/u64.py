@@ -4,7 +4,7 @@ Text that is no number gives NULL; digits beyond 64 bits are dropped from the le
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW = 0xFFFFFFFF
@@ -29,7 +29,7 @@ def _digits(hex_digits: Column) -> Column:
 
 def hex_value(text: Column) -> Column:
     """``text`` read in base 16 whether or not it begins with 0x; NULL if it isn't hexadecimal."""
-    return let(F.regexp_extract(strip(text), r"^(?:0[xX])?([0-9a-fA-F]+)$", 1), lambda body: F.when(body != "", _digits(body)))
+    return _digits(F.nullif(F.regexp_extract(strip(text), r"^(?:0[xX])?([0-9a-fA-F]+)$", 1), F.lit("")))
 
 
 def index_value(text: Column) -> Column:
@@ -41,20 +41,37 @@ def index_value(text: Column) -> Column:
 def auto_value(text: Column) -> Column:
     """``text`` as a number in the base that its prefix names (0x, 0o, 0b, else 10), with an optional sign,
     modulo 2^64; a trailing ``!`` and a leading ``#`` don't count. NULL if it isn't a number."""
-    token = strip(F.regexp_replace(strip(text), "!+$", ""))
-    return let(F.lower(strip(F.regexp_replace(token, "^#", ""))), _auto)
+    return let(_token(text), lambda token: let(_body(token), lambda body: _signed(_unsigned_number(body), token)))
 
 
-def _auto(token: Column) -> Column:
-    negative = F.startswith(token, F.lit("-"))
-    body = F.regexp_replace(token, "^[+-]", "")
-    base = lambda letter, digits: F.regexp_extract(body, f"^0{letter}([{digits}]+)$", 1)
-    of_hex, of_octal, of_binary = base("x", "0-9a-f"), base("o", "0-7"), base("b", "01")
-    plain = F.regexp_extract(body, "^(0+|[1-9][0-9]{0,37})$", 1)
-    number = F.when(of_hex != "", _digits(of_hex)).when(of_octal != "", F.conv(F.right(of_octal, F.lit(21)), 8, -10).cast("long"))
-    number = number.when(of_binary != "", F.conv(F.right(of_binary, F.lit(64)), 2, -10).cast("long"))
-    number = number.when(plain != "", F.conv(F.pmod(plain.cast("decimal(38,0)"), F.lit(_TWO_64).cast("decimal(38,0)")).cast("string"), 10, -10).cast("long"))
-    return let(number, lambda n: F.when(negative, wrap_add(F.bitwise_not(n), F.lit(1).cast("long"))).otherwise(n))
+def with_numbers(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds ``auto_value`` of columns of text, for each new name the column that it is read from; step by step in columns
+    of their own, which are compiled."""
+    rows = rows.withColumns({f"_token_{n}": _token(F.col(c)) for n, c in texts.items()})
+    rows = rows.withColumns({f"_body_{n}": _body(F.col(f"_token_{n}")) for n in texts})
+    rows = rows.withColumns({f"_number_{n}": _unsigned_number(F.col(f"_body_{n}")) for n in texts})
+    return rows.withColumns({n: _signed(F.col(f"_number_{n}"), F.col(f"_token_{n}")) for n in texts}).drop(*[f"_{k}_{n}" for n in texts for k in ("token", "body", "number")])
+
+
+def _token(text: Column) -> Column:
+    return F.lower(strip(F.regexp_replace(F.rtrim(strip(text), F.lit("!" + BLANKS)), "^#", "")))
+
+
+def _body(token: Column) -> Column:
+    return F.when(token.rlike("^[+-]"), F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def _unsigned_number(body: Column) -> Column:
+    begins = lambda mark: F.startswith(body, F.lit(mark))
+    rest = F.substring(body, 3, 1 << 30)
+    based = lambda digits, most, base: F.when(rest.rlike(f"^[{digits}]+$"), F.conv(F.right(rest, F.lit(most)), base, -10).cast("long"))
+    wide = F.conv(F.pmod(body.cast("decimal(38,0)"), F.lit(_TWO_64).cast("decimal(38,0)")).cast("string"), 10, -10).cast("long")
+    plain = F.when(body.rlike("^(?:0+|[1-9][0-9]{0,37})$"), F.when(F.length(body) <= 18, body.cast("long")).otherwise(wide))
+    return F.when(begins("0x"), based("0-9a-f", 16, 16)).when(begins("0o"), based("0-7", 21, 8)).when(begins("0b"), based("01", 64, 2)).otherwise(plain)
+
+
+def _signed(number: Column, token: Column) -> Column:
+    return F.when(F.startswith(token, F.lit("-")), wrap_subtract(F.lit(0).cast("long"), number)).otherwise(number)
 
 
 def to_hex(value: Column) -> Column:
@@ -63,16 +80,20 @@ def to_hex(value: Column) -> Column:
 
 
 def wrap_add(a: Column, b: Column) -> Column:
-    """a + b modulo 2^64, by halves: plain addition raises an error where it overflows."""
+    """a + b modulo 2^64, by halves: plain addition raises an error where it overflows. Both are written out several
+    times, so they had better be columns."""
     mask = F.lit(LOW)
+    low = a.bitwiseAND(mask) + b.bitwiseAND(mask)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(low.bitwiseAND(mask))
 
-    def add(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        low = a.bitwiseAND(mask) + b.bitwiseAND(mask)
-        high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-        return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(low.bitwiseAND(mask))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), add)
+def wrap_subtract(a: Column, b: Column) -> Column:
+    """a - b modulo 2^64, by halves likewise."""
+    mask = F.lit(LOW)
+    low = a.bitwiseAND(mask) - b.bitwiseAND(mask)
+    high = F.shiftrightunsigned(a, 32) - F.shiftrightunsigned(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(low.bitwiseAND(mask))
 
 
 def shift_left(value: Column, by: Column) -> Column:

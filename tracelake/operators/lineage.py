@@ -1,25 +1,27 @@
 """Where values come from: last writes, overlapping stores, backward taint slices and data provenance.
 
-A taint slice is what a use reaches over ``def_use``. It is walked in rounds; each looks up one frontier
-of at most ``max_steps`` instructions, as those below the lowest of the highest ``max_steps`` found can't
-be among the result. What the driver holds is so bounded by ``max_steps``, not by the trace."""
+A taint slice is what a use reaches over ``def_use``. It is walked backwards on the driver, which reads
+``def_use`` in windows of positions: one job for each window that holds a part of the slice. What the
+driver holds is so bounded by ``max_steps`` and the width of a window, not by the trace.
 
-from __future__ import annotations
+Addresses are unsigned and wrap at 2^64, and accesses may be of any size."""
 
-from dataclasses import dataclass, field
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..functions.patterns import EVENT_DETAIL, LABELS, MESSAGES
+from ..functions.patterns import LABELS
 from ..functions.registers import related, taint_name
-from ..functions.u64 import hex_text, little_endian
+from ..functions.u64 import hex_text, little_endian, wrap_add, wrap_subtract
 from .running import CHUNK, carried_last
 from .tables import number_under, raw_bytes, unit_size
 
-#: An access is at most so many bytes.
-WIDEST = 0xFFFF
+#: Bytes of a granule, by which accesses are matched; granules of one part of a wide access.
+GRANULE, PART = 8, 1 << 14
+#: Positions of one window in which a taint slice is read.
+WINDOW = 1 << 13
 
 
 def previous_write(writes: DataFrame, register: str, idx: int) -> DataFrame:
@@ -34,59 +36,76 @@ def register_source(writes: DataFrame, register: str, idx: int) -> DataFrame:
     return previous_write(writes, register, idx - 1)
 
 
+def _granules(rows: DataFrame) -> DataFrame:
+    """``rows`` (addr, size, ...) once for each granule of memory that they touch, with ``granule`` (the address of its
+    first byte over GRANULE) and ``begin`` and ``end``, the bytes of it."""
+    inside = F.col("addr").bitwiseAND(F.lit(GRANULE - 1))
+    count = F.shiftright(inside + F.col("size").cast("long") + (GRANULE - 1), 3)
+    rows = rows.withColumns({"_inside": inside, "_count": count})
+    # In two steps, so that no array is as long as a very wide access.
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_count - 1) div {PART}"))))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.col("_part") * PART, F.least(F.col("_count"), (F.col("_part") + 1) * PART) - 1)))
+    granule = (F.shiftrightunsigned("addr", 3) + F.col("_k")).bitwiseAND(F.lit((1 << 61) - 1))
+    begin = F.when(F.col("_k") == 0, F.col("_inside")).otherwise(0)
+    end = F.least(F.lit(GRANULE).cast("long"), F.col("_inside") + F.col("size") - GRANULE * F.col("_k"))
+    return rows.withColumns({"granule": granule, "begin": begin, "end": end}).drop("_inside", "_count", "_part", "_k")
+
+
 def previous_overlapping_writes(accesses: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(idx, slot, addr, size, write_idx, write_slot): for each read the last write before it that shares a byte.
 
-    Every byte of an access is followed by itself, so the work grows with the bytes moved and not with
-    pairs of reads and writes, and a byte that is used all the time is split by position."""
+    Memory is followed in granules, each with the last write of every byte, so the work grows with the bytes moved
+    and not with pairs of reads and writes, and a granule that is used all the time is split by position."""
     rows = accesses.where(F.col("kind").isin("R", "W")).select("idx", "slot", "kind", "addr", F.greatest("size", F.lit(1)).alias("size"))
-    single = rows.select("*", F.explode(F.sequence(F.lit(0), F.least("size", F.lit(WIDEST)) - 1)).alias("at")).withColumn("byte", F.col("addr") + F.col("at"))
     # Reads see earlier instructions' writes only: at one position they come first.
-    single = single.withColumn("is_write", (F.col("kind") == "W").cast("int"))
-    mark = F.when(F.col("is_write") == 1, F.struct(F.col("idx").alias("write_idx"), F.col("slot").alias("write_slot")))
-    found = carried_last(single, ["byte"], "idx", ["idx", "is_write", "slot"], {"seen": mark}, chunk=chunk).where("is_write = 0")
-    return found.groupBy("idx", "slot", "addr", "size").agg(F.max("seen").alias("seen")).select("idx", "slot", "addr", "size", "seen.write_idx", "seen.write_slot")
-
+    single = _granules(rows).withColumn("is_write", (F.col("kind") == "W").cast("int"))
+    mark = F.struct(F.col("idx").alias("write_idx"), F.col("slot").alias("write_slot"))
+    covers = lambda byte: (F.col("begin") <= byte) & (F.col("end") > byte)
+    bytes_ = {f"byte{i}": F.when((F.col("is_write") == 1) & covers(i), mark) for i in range(GRANULE)}
+    found = carried_last(single, ["granule"], "idx", ["idx", "is_write", "slot"], bytes_, chunk=chunk).where("is_write = 0")
+    seen = F.greatest(*[F.when(covers(i), F.col(f"byte{i}")) for i in range(GRANULE)])
+    found = found.withColumn("seen", seen).groupBy("idx", "slot", "addr", "size").agg(F.max("seen").alias("seen"))
+    return found.select("idx", "slot", "addr", "size", "seen.write_idx", "seen.write_slot")
 
-@dataclass
-class Node:
-    idx: int
-    hit_writes: set[str] = field(default_factory=set)
-    reads: list[tuple[str, int | None]] = field(default_factory=list)
 
-
-def taint_slice(instruction: DataFrame, writes: DataFrame, def_use: DataFrame, register: str, from_idx: int, max_steps: int = 300) -> DataFrame:
+def taint_slice(instruction: DataFrame, writes: DataFrame, def_use: DataFrame, register: str, from_idx: int, max_steps: int = 300, window: int = WINDOW) -> DataFrame:
     """(index, address, mnemonic, operands, hit_writes, read_regs, taint_before, taint_after), newest first, of the
     instructions that a register's value at ``from_idx`` follows from (that one included). Memory is not followed."""
     spark = instruction.sparkSession
     schema = "index long, hit_writes array<string>, read_regs array<string>, taint_before array<string>, taint_after array<string>"
     target = taint_name(register)
-    nodes: dict[int, Node] = {}
+    # Positions still to be visited, and the registers for which they are.
+    waiting: dict[int, set[str]] = {}
     if target and from_idx >= 0 and max_steps > 0 and (first := previous_write(writes, target, from_idx).first()):
-        nodes[first[0]] = Node(first[0], {target})
-    frontier, missing = list(nodes), target
-    while frontier:
-        # As many literals as steps at most; the table is sorted by idx, so most of it is skipped.
-        uses = def_use.where(F.col("idx").isin(frontier)).select("idx", "reg", "def_idx").collect()
-        before = set(nodes)
-        for use in uses:
-            nodes[use["idx"]].reads.append((use["reg"], use["def_idx"]))
-            if use["def_idx"] is not None:
-                nodes.setdefault(use["def_idx"], Node(use["def_idx"])).hit_writes.add(use["reg"])
-        kept = set(sorted(nodes, reverse=True)[:max_steps])
-        nodes = {i: n for i, n in nodes.items() if i in kept}
-        frontier = [i for i in nodes if i not in before]
-    rows, tainted = [], {missing}
-    for i in sorted(nodes, reverse=True):
-        reads = {reg for reg, _ in nodes[i].reads}
-        now, tainted = tainted, (tainted - nodes[i].hit_writes) | reads
-        rows.append((i, sorted(nodes[i].hit_writes), sorted(reads), sorted(now), sorted(tainted)))
+        waiting[first[0]] = {target}
+    uses: dict[int, list[tuple[str, int | None]]] = {}
+    low, rows, tainted = None, [], {target}
+    while waiting and len(rows) < max_steps:
+        at = max(waiting)
+        if low is None or at < low:
+            low = max(0, at - window + 1)
+            uses = {}
+            for use in def_use.where(F.col("idx").between(low, at)).select("idx", "reg", "def_idx").collect():
+                uses.setdefault(use["idx"], []).append((use["reg"], use["def_idx"]))
+        hit, reads = waiting.pop(at), uses.get(at, [])
+        for reg, before in reads:
+            if before is not None:
+                waiting.setdefault(before, set()).add(reg)
+        read = {reg for reg, _ in reads}
+        now, tainted = tainted, (tainted - hit) | read
+        rows.append((at, sorted(hit), sorted(read), sorted(now), sorted(tainted)))
     found = spark.createDataFrame(rows, schema)
-    known = instruction.where(F.col("idx").isin(list(nodes))) if nodes else instruction.limit(0)
+    known = instruction.where(F.col("idx").isin([r[0] for r in rows])) if rows else instruction.limit(0)
     out = known.select(F.col("idx").alias("index"), "address", "mnemonic", "operands").join(F.broadcast(found), "index")
     return out.select("index", "address", "mnemonic", "operands", "hit_writes", "read_regs", "taint_before", "taint_after").orderBy(F.desc("index"))
 
 
+#: What ``provenance`` says besides its events.
+MESSAGES = {
+    "position": "no such position", "no_load": "no load into the register near this position",
+    "no_write": "no earlier store of these bytes was found", "ok": "ok",
+}
+
 
 def load_context(instruction: DataFrame, register: str, from_idx: int, lookback: int = 120) -> DataFrame:
     """At most one row: the newest load in [from_idx - lookback, from_idx] that writes the register (at ``from_idx``
@@ -106,7 +125,7 @@ def load_context(instruction: DataFrame, register: str, from_idx: int, lookback:
     rows = rows.withColumn("skip", F.aggregate(before, F.lit(0), lambda n, r: n + unit_size(F.col("mnemonic"), r)))
     unit = F.least(unit_size(F.col("mnemonic"), F.col("chosen")), F.greatest(F.lit(1), F.col("size") - F.col("skip")))
     rows = rows.withColumn("unit", F.when(F.col("chosen").isNull(), F.col("size")).otherwise(unit))
-    every = F.transform(F.array_distinct("pairs.names"), lambda r: F.struct(r.alias("r"), hex_text(parse.value_of(F.col("pairs"), r)).alias("v")))
+    every = F.transform(parse.named_in_order(F.col("pairs")), lambda r: F.struct(r.alias("r"), hex_text(parse.value_of(F.col("pairs"), r)).alias("v")))
     rows = rows.withColumn("other", F.get(F.filter(every, lambda u: u["v"].isNotNull()), F.lit(0)))
     own = little_endian(number_under(F.col("pairs"), F.col("chosen")), F.col("unit"))
     inside = 2 * F.col("skip") < F.length("raw")
@@ -116,8 +135,7 @@ def load_context(instruction: DataFrame, register: str, from_idx: int, lookback:
     hit = F.when(own.isNull() & F.col("raw").isNull() & F.col("other").isNotNull(), F.col("other.r")).otherwise(F.col("chosen"))
     rows = rows.withColumns({"bytes": taken, "skip": skip, "hit": F.coalesce(hit, F.lit((register or "").upper()))})
     length = F.coalesce(F.nullif(F.length("bytes"), F.lit(0)) / 2, F.greatest(F.lit(1), F.col("size") - F.col("skip"))).cast("int")
-    return rows.select("idx", "address", "mnemonic", "operands", (F.col("addr") + F.col("skip")).alias("addr"), length.alias("size"), "bytes", F.col("hit").alias("register"))
-
+    return rows.select("idx", "address", "mnemonic", "operands", wrap_add(F.col("addr"), F.col("skip").cast("long")).alias("addr"), length.alias("size"), "bytes", F.col("hit").alias("register"))
 
 
 def previous_matching_write(accesses: DataFrame, start_idx: int, addr: int, size: int, value: str | None, max_scan: int = 20000) -> DataFrame:
@@ -126,16 +144,21 @@ def previous_matching_write(accesses: DataFrame, start_idx: int, addr: int, size
     Of all stores that overlap it, the newest whose overlapping bytes are equal (or, if the bytes of the
     range are unknown, the newest). Failing that, the newest of the last ``max_scan`` instructions whose
     bytes are unknown."""
-    rows = accesses.where((F.col("kind") == "W") & (F.col("idx") <= start_idx) & F.col("addr").between(addr - WIDEST, addr + size - 1))
-    rows = rows.withColumn("size", F.greatest("size", F.lit(1))).where(F.col("addr") + F.col("size") > addr)
-    begin = F.greatest("addr", F.lit(addr))
-    end = F.least(F.col("addr") + F.col("size"), F.lit(addr + size))
-    part = lambda digits, base: F.substring(digits, (2 * (begin - base) + 1).cast("int"), (2 * (end - begin)).cast("int"))
-    label = lambda way: F.when((begin == addr) & (end - begin == size) & (F.col("size") >= size), LABELS[f"{way}exact"]).otherwise(LABELS[f"{way}overlap"])
+    rows = accesses.where((F.col("kind") == "W") & (F.col("idx") <= start_idx)).withColumn("size", F.greatest("size", F.lit(1)))
+    # How far each begins behind the other, modulo 2^64; they overlap if one begins inside the other.
+    rows = rows.withColumns({"_behind": wrap_subtract(F.col("addr"), F.lit(addr).cast("long")), "_ahead": wrap_subtract(F.lit(addr).cast("long"), F.col("addr"))})
+    inside = F.col("_behind").between(0, size - 1)
+    rows = rows.where(inside | ((F.col("_ahead") >= 0) & (F.col("_ahead") < F.col("size"))))
+    at_value, at_store = F.when(inside, F.col("_behind")).otherwise(0), F.when(inside, 0).otherwise(F.col("_ahead"))
+    shared = F.least(F.col("size") - at_store, size - at_value)
+    # Bounded, because it may be computed of rows that are left out.
+    place = lambda n: F.least(F.greatest(n, F.lit(0)), F.lit(1 << 30)).cast("int")
+    part = lambda digits, begin: F.substring(digits, place(2 * begin + 1), place(2 * shared))
+    label = lambda way: F.when((at_value == 0) & (shared == size), LABELS[f"{way}exact"]).otherwise(LABELS[f"{way}overlap"])
     if value is None:
         rows = rows.withColumns({"stage": F.lit(0), "match": F.lit(LABELS["address"])})
     else:
-        equal = part(F.col("value_bytes"), F.col("addr")) == part(F.lit(value), F.lit(addr))
+        equal = part(F.col("value_bytes"), at_store) == part(F.lit(value), at_value)
         unknown = F.col("value_bytes").isNull() & (F.col("idx") > start_idx - max_scan)
         rows = rows.where(equal | unknown).withColumns({"stage": F.when(equal, 0).otherwise(1), "match": F.when(equal, label("")).otherwise(LABELS["scan_address"])})
     slot = F.when(F.col("stage") == 0, -F.col("slot")).otherwise(F.col("slot"))
@@ -153,17 +176,16 @@ def provenance(instruction: DataFrame, writes: DataFrame, accesses: DataFrame, d
     spaced = lambda digits: " ".join(digits[i : i + 2] for i in range(0, len(digits), 2)).upper() if digits else "?"
     text = lambda row: f"{row['mnemonic']} {row['operands']}".strip()
     shown = lambda addr: f"0x{addr % (1 << 64):x}"
-    events = [(0, "load", load["idx"], load["address"], text(load), shown(load["addr"]), load["size"], spaced(load["bytes"]), EVENT_DETAIL["load"] + load["register"])]
+    events = [(0, "load", load["idx"], load["address"], text(load), shown(load["addr"]), load["size"], spaced(load["bytes"]), f"read into {load['register']}")]
     store = previous_matching_write(accesses, load["idx"] - 1, load["addr"], load["size"], load["bytes"], max_scan).first()
     if not store:
         return spark.createDataFrame(events, schema), MESSAGES["no_write"]
     by = instruction.where(F.col("idx") == store["idx"]).select("address", "mnemonic", "operands").first()
     source = list(store["source_registers"] or [])
-    events.append((1, "write", store["idx"], by["address"], text(by), shown(store["addr"]), store["size"], spaced(store["value_bytes"]), store["match"] + EVENT_DETAIL["write"] + (", ".join(source) or "-")))
+    events.append((1, "write", store["idx"], by["address"], text(by), shown(store["addr"]), store["size"], spaced(store["value_bytes"]), f"{store['match']}, stored from {', '.join(source) or '-'}"))
     if source:
         chain = taint_slice(instruction, writes, def_use, source[0], max(0, store["idx"] - 1), max_calc_steps)
         for n, node in enumerate(chain.collect()):  # max_calc_steps rows at most
-            said = EVENT_DETAIL["calc"] + (", ".join(node["hit_writes"]) or "-") + EVENT_DETAIL["calc_reads"] + (", ".join(node["read_regs"]) or "-")
+            said = f"writes {', '.join(node['hit_writes']) or '-'}, reads {', '.join(node['read_regs']) or '-'}"
             events.append((2 + n, "calc", node["index"], node["address"], text(node), "-", 0, "-", said))
     return spark.createDataFrame(events, schema), MESSAGES["ok"]
-

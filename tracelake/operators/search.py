@@ -199,11 +199,16 @@ def limited(matches: DataFrame, n: int | None) -> tuple[DataFrame, bool]:
 
 
 def sorted_by(matches: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """A result in the order of one column: numbers and addresses as such, texts in lower case."""
+    """A result in the order of one column: numbers and addresses as such, texts in lower case; equal ones in trace order."""
     kind = dict(matches.dtypes)[column]
     key = F.lower(column) if kind == "string" else F.col(column)
     key = address_order(F.col(column)) if "address" in column or column == "offset" else key
-    return matches.orderBy(key.desc() if descending else key.asc())
+    return matches.orderBy(key.desc() if descending else key.asc(), *[c for c in ("index",) if c in matches.columns])
+
+
+def result_page(matches: DataFrame, top: int, count: int) -> DataFrame:
+    """``count`` rows of an ordered result from row ``top`` (from 0) on."""
+    return matches.offset(max(0, top)).limit(count)
 
 
 def page(instruction: DataFrame, top: int, count: int) -> DataFrame:

@@ -10,9 +10,6 @@ from ..functions.registers import analysis_register, is_w, read_registers, relat
 from ..functions.u64 import hex_text, hex_value, index_value, let, little_endian
 from .running import CHUNK, carried_last
 
-#: Operations and dump lines of an instruction that memory_access lists at most.
-SLOTS = 256
-
 
 def register_writes(instruction: DataFrame) -> DataFrame:
     """The table ``register_write``; value is null where the text is no hexadecimal number."""
@@ -65,7 +62,7 @@ def with_store_bytes(rows: DataFrame) -> DataFrame:
     units = F.transform("_targets", lambda r: F.struct(r.alias("r"), little_endian(number_under(F.col("_pairs"), r), unit_size(F.col("mnemonic"), r)).alias("b")))
     rows = rows.withColumn("_units", F.filter(units, lambda u: u["b"].isNotNull()))
     # Registers that the operands don't name: the first number is stored in full size.
-    every = F.transform(F.array_distinct("_pairs.names"), lambda r: F.struct(r.alias("r"), hex_text(parse.value_of(F.col("_pairs"), r)).alias("v")))
+    every = F.transform(parse.named_in_order(F.col("_pairs")), lambda r: F.struct(r.alias("r"), hex_text(parse.value_of(F.col("_pairs"), r)).alias("v")))
     rows = rows.withColumn("_first", F.get(F.filter(every, lambda u: u["v"].isNotNull()), F.lit(0)))
     size = F.greatest("size", F.lit(1))
     cut = lambda digits: F.substring(digits, F.lit(1), 2 * size)
@@ -81,8 +78,10 @@ def address_bucket(addr_hex: Column) -> Column:
     return F.rpad(F.substring(addr_hex, 1, 6), 6, "0")
 
 
-def memory_accesses(instruction: DataFrame) -> DataFrame:
-    """The table ``memory_access``: reads R, writes W, dump lines D and modified ones D*, by numeric address."""
+def memory_accesses(instruction: DataFrame, slots: int | None = None) -> DataFrame:
+    """The table ``memory_access``: reads R, writes W, dump lines D and modified ones D*, by numeric address.
+
+    ``slots``: how many operations, and how many dump lines, of one instruction are listed; all, if None."""
     base = instruction.select("idx", "mnemonic", "operands", F.explode("memory_ops").alias("o"))
     base = base.select(
         "idx", "mnemonic", "operands", F.col("o.slot").alias("slot"), F.when(F.col("o.type") == "read", "R").otherwise("W").alias("kind"),
@@ -94,7 +93,8 @@ def memory_accesses(instruction: DataFrame) -> DataFrame:
         "idx", F.col("d.slot").alias("slot"), F.when(F.col("d.is_modified"), "D*").otherwise("D").alias("kind"), F.col("d.address").alias("address"),
         F.size("d.data").alias("size"), F.array_join("d.data", " ").alias("data_value"), F.lit(None).cast("string").alias("value_bytes"), F.lit(None).cast("array<string>").alias("source_registers"),
     )
-    rows = stores.unionByName(dumps).where(F.col("slot") < SLOTS).withColumn("addr", index_value(F.col("address"))).where("addr is not null")
+    rows = stores.unionByName(dumps)
+    rows = (rows if slots is None else rows.where(F.col("slot") < slots)).withColumn("addr", index_value(F.col("address"))).where("addr is not null")
     rows = rows.withColumn("addr_hex", F.lower(F.hex("addr")))
     return rows.select("idx", "slot", "kind", "addr", "addr_hex", address_bucket(F.col("addr_hex")).alias("bucket"), "size", "address", "data_value", "value_bytes", "source_registers")
 

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lineage, search, state, tables
 from ..sources.logs import classified, instructions
+from ..sources.store import written
 from .trace import Trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,14 +36,17 @@ STEPS = (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, file_offset, line)."""
+    """(idx, file_offset, split, at, line)."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A table of few files is dealt out before its lines are parsed, which is most of the work.
+    if rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        rows = rows.repartition(cores)
     for step in STEPS:
-        rows = rows.selectExpr(*_columns(step))
-    return rows.select("idx", F.col("idx").alias("file_offset"), "line")
+        rows = rows.selectExpr(*columns_of(step))
+    return rows.select("idx", F.col("idx").alias("file_offset"), F.lit(0).alias("split"), F.col("idx").alias("at"), "line")
 
 
-def _columns(step: str) -> list[str]:
+def columns_of(step: str) -> list[str]:
     """The expressions of a step: split at commas outside of brackets and quotes."""
     out, depth, quoted = [""], 0, False
     for c in step:
@@ -57,8 +60,8 @@ def _columns(step: str) -> list[str]:
 
 
 def twin(spark: SparkSession, sf_dir: str) -> Trace:
-    """The trace, its instructions kept (in memory or on disk) because every other table reads them."""
-    return Trace.of(instructions(classified(lines(spark, sf_dir))).persist(StorageLevel.MEMORY_AND_DISK))
+    """The trace, its instructions written once because every other table reads them."""
+    return Trace.of(written(instructions(classified(lines(spark, sf_dir))), "instruction"))
 
 
 def _sql(body: str, recursive: bool = False) -> str:
@@ -77,15 +80,21 @@ _SHOWN = """idx AS index, idx + 1 AS line, address AS instruction_address, offse
   CASE WHEN touches THEN CASE mnemonic WHEN 'ldr' THEN 'R:' ELSE 'W:' END || v || ' (' || name || '=' || v || ')' ELSE comment END AS data"""
 _STATE = """(coalesce(arg_max(val, idx) FILTER (WHERE NOT is_w), 0) & ~4294967295) | coalesce(arg_max(val & 4294967295, idx), 0)"""
 
-AT, REG, OFFSET, PREFIX, DATUM, SPACING, STEPS_SHOWN = 700, "X7", "0x40001c", "0x8000000001", "0x800000000100", 500, 40
+REG, OFFSET, PREFIX, DATUM, SPACING, STEPS_SHOWN = "X7", "0x40001c", "0x8000000001", "0x800000000100", 500, 500
+#: The last position, and the middle one, in SQL.
+AT, MIDDLE = "(SELECT max(event_id) FROM events)", "(SELECT count(*) // 2 FROM events)"
 
 
 def register_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_at(twin(spark, sf_dir).register_write, AT)
+    """After the whole trace."""
+    trace = twin(spark, sf_dir)
+    return state.state_at(trace.register_write, trace.count() - 1)
 
 
 def register_state_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_for_display(twin(spark, sf_dir).register_write, AT).drop("place")
+    """After the whole trace."""
+    trace = twin(spark, sf_dir)
+    return state.state_for_display(trace.register_write, trace.count() - 1).drop("place")
 
 
 def state_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +127,8 @@ def register_write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.previous_write(twin(spark, sf_dir).register_write, REG, AT)
+    trace = twin(spark, sf_dir)
+    return lineage.previous_write(trace.register_write, REG, trace.count() - 1)
 
 
 def definition_of_every_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,19 +141,11 @@ def previous_overlapping_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backward_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = twin(spark, sf_dir)
-    rows = lineage.taint_slice(trace.instruction, trace.register_write, trace.def_use.persist(), REG, AT, STEPS_SHOWN)
+    rows = lineage.taint_slice(trace.instruction, trace.register_write, written(trace.def_use, "def_use"), REG, trace.count() - 1, STEPS_SHOWN)
     lists = ("hit_writes", "read_regs", "taint_before", "taint_after")
     return rows.select("index", "address", "mnemonic", "operands", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
-def data_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first load at or after AT."""
-    trace = twin(spark, sf_dir)
-    load = trace.memory_access.where((F.col("kind") == "R") & (F.col("idx") >= AT)).agg(F.min("idx")).first()[0]
-    register = trace.register_write.where(F.col("idx") == load).select("register").first()[0]
-    return lineage.provenance(trace.instruction, trace.register_write, trace.memory_access, trace.def_use, register, load)[0]
-
-
 def all_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twin(spark, sf_dir).all_by_address(PREFIX)
 
@@ -165,17 +167,20 @@ def all_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next match by offset and by memory address from AT on."""
+    """The next match by offset and by memory address from the middle on."""
     trace = twin(spark, sf_dir)
-    by_offset = search.next_by_offset(trace.instruction, OFFSET, AT).withColumn("how", F.lit("offset"))
-    return by_offset.unionByName(search.next_by_memory_address(trace.memory_access, PREFIX, AT).withColumn("how", F.lit("memory")))
+    start = trace.count() // 2
+    by_offset = search.next_by_offset(trace.instruction, OFFSET, start).withColumn("how", F.lit("offset"))
+    return by_offset.unionByName(search.next_by_memory_address(trace.memory_access, PREFIX, start).withColumn("how", F.lit("memory")))
 
 
 def instruction_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).page(AT, 50)
+    """The last fifty."""
+    trace = twin(spark, sf_dir)
+    return trace.page(trace.count() - 50, 50)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (register_state, register_state_display, state_checkpoints, state_history, parsed_instructions, register_write_table, memory_access_table, mnemonic_table, register_write_counts, previous_write, definition_of_every_use, previous_overlapping_write, backward_taint, data_provenance, all_by_address, all_by_offset, all_by_mnemonic, count_by_mnemonic, all_by_data, next_matches, instruction_page)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (register_state, register_state_display, state_checkpoints, state_history, parsed_instructions, register_write_table, memory_access_table, mnemonic_table, register_write_counts, previous_write, definition_of_every_use, previous_overlapping_write, backward_taint, all_by_address, all_by_offset, all_by_mnemonic, count_by_mnemonic, all_by_data, next_matches, instruction_page)}
 
 ORACLES: dict[str, str] = {
     "register_state": _sql(f"SELECT state_reg AS register, {_STATE} AS value FROM w WHERE idx <= {AT} GROUP BY ALL"),
@@ -228,8 +233,8 @@ FROM m JOIN t USING (idx) WHERE starts_with(m.mem_text, '{PREFIX}')"""),
     "count_by_mnemonic": _sql("SELECT count(*) AS n FROM t WHERE starts_with(mnemonic, 'm')"),
     "all_by_data": _sql(f"SELECT {_SHOWN}, '寄存器/注释' AS match_scope FROM t WHERE contains(comment, '{DATUM}')"),
     "next_matches": _sql(f"""
-SELECT 'offset' AS how, coalesce(min(idx) FILTER (WHERE idx >= {AT}), min(idx)) AS idx FROM t WHERE offset_text = '{OFFSET}' HAVING count(*) > 0
+SELECT 'offset' AS how, coalesce(min(idx) FILTER (WHERE idx >= {MIDDLE}), min(idx)) AS idx FROM t WHERE offset_text = '{OFFSET}' HAVING count(*) > 0
 UNION ALL
-SELECT 'memory', coalesce(min(idx) FILTER (WHERE idx >= {AT}), min(idx)) FROM m WHERE starts_with(mem_text, '{PREFIX}') HAVING count(*) > 0"""),
-    "instruction_page": _sql(f"""SELECT idx + 1 AS num, address, offset_text AS "offset", mnemonic, operands, comment FROM t WHERE idx BETWEEN {AT} AND {AT + 49}"""),
+SELECT 'memory', coalesce(min(idx) FILTER (WHERE idx >= {MIDDLE}), min(idx)) FROM m WHERE starts_with(mem_text, '{PREFIX}') HAVING count(*) > 0"""),
+    "instruction_page": _sql(f"""SELECT idx + 1 AS num, address, offset_text AS "offset", mnemonic, operands, comment FROM t WHERE idx > {AT} - 50"""),
 }

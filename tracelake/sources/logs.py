@@ -26,13 +26,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Adds what each line is: fields of an instruction, a stated operation, a dump line, a stack pointer."""
-    trimmed = strip(F.col("line"))
-    lines = lines.withColumn("is_sp", F.startswith(trimmed, F.lit("Original SP:")))
+    """Adds what each line is (fields of an instruction, a stated operation, a dump line, a stack pointer), and the
+    register changes and the memory operation that an instruction's line implies."""
+    lines = lines.withColumn("is_sp", F.startswith(strip(F.col("line")), F.lit("Original SP:")))
     lines = lines.withColumn("op", F.when(~F.col("is_sp"), parse.stated_operation(F.col("line"))))
     lines = lines.withColumn("dump", F.when(~F.col("is_sp") & F.col("op").isNull(), parse.dump_line(F.col("line"))))
-    other = F.col("is_sp") | F.col("op").isNotNull() | F.col("dump").isNotNull()
-    return lines.withColumn("fields", F.when(~other, parse.instruction_fields(F.col("line"))))
+    lines = parse.with_instruction_fields(lines, where=~F.col("is_sp") & F.col("op").isNull() & F.col("dump").isNull())
+    head = F.col("fields").isNotNull()
+    lines = lines.withColumns({"_head": F.when(head, F.col("line")), "mnemonic": F.col("fields.mnemonic"), "operands": F.col("fields.operands"), "address": F.col("fields.address")})
+    return parse.with_effects(lines, "_head").drop("_head", "mnemonic", "operands", "address")
 
 
 def placed(lines: DataFrame) -> DataFrame:
@@ -59,23 +61,21 @@ def initial_sp(lines: DataFrame) -> DataFrame:
 def _numbered(rows: Column, name: str) -> Column:
     """An array of structs with each one's place as its first field."""
     fields = {"ordinal": ("register", "old_value", "new_value"), "slot": ("type", "address", "instruction_address", "data_size", "data_value"), "dump": ("address", "data", "is_modified")}[name]
-    return F.transform(rows, lambda x, i: F.struct(i.alias("ordinal" if name == "ordinal" else "slot"), *[x[f].alias(f) for f in fields]))
+    one = lambda x, i: F.struct(i.alias("ordinal" if name == "ordinal" else "slot"), *[x[f].alias(f) for f in fields])
+    return F.when(F.size(rows) == 1, F.array(one(F.get(rows, F.lit(0)), F.lit(0)))).otherwise(F.transform(rows, one))
 
 
 def instructions(lines: DataFrame) -> DataFrame:
-    """The table ``instruction`` of placed lines.
+    """The table ``instruction`` of placed lines, an instruction's own lines in the order of the log.
 
     Operations that lines state count instead of the one that the operands imply."""
     rows = lines.where(F.col("idx") >= 0)
-    first = F.col("fields").isNotNull()
-    own = lambda c: F.max(F.when(first, F.col(c))).alias(c)
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("file_offset", F.col(c).alias("x"))))), lambda r: r["x"])
-    blocks = rows.groupBy("idx").agg(
-        own("file_offset"), F.max(F.when(first, F.col("line"))).alias("raw_line"), F.max("fields").alias("fields"),
-        listed("op").alias("stated"), listed("dump").alias("dumped"), listed("line").alias("raw_lines"),
-    )
-    blocks = blocks.select("idx", "file_offset", "fields.*", "raw_line", "raw_lines", "stated", "dumped")
-    blocks = parse.with_inferred_operation(blocks.withColumn("changes", parse.register_changes(F.col("raw_line"))))
+    head = F.when(F.col("fields").isNotNull(), F.struct("file_offset", "fields", F.col("line").alias("raw_line"), "changes", "inferred"))
+    order = F.struct("split", "at")
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("x")))))
+    blocks = rows.groupBy("idx").agg(F.first(head, ignorenulls=True).alias("head"), listed("op").alias("stated"), listed("dump").alias("dumped"), listed("line").alias("raw_lines"))
+    of = lambda c: F.col(f"{c}.x").alias(c)
+    blocks = blocks.select("idx", "head.file_offset", "head.fields.*", "head.raw_line", "head.changes", "head.inferred", of("raw_lines"), of("stated"), of("dumped"))
     operations = F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.array_compact(F.array("inferred")))
     return blocks.select(
         "idx", "file_offset", "address", "offset", index_value(F.col("offset")).alias("offset_val"), "mnemonic", "operands", "comment", "raw_line",
@@ -83,10 +83,15 @@ def instructions(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The table ``instruction`` and the one row (initial_sp) of a log file or folder of log files."""
-    lines = read_lines(spark, path)
-    return instructions(placed(classified(lines))), initial_sp(lines)
+def read_trace(spark: SparkSession, path: str, aside: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table ``instruction`` and the one row (initial_sp) of a log file or folder of log files.
+
+    ``aside``: a folder for the parsed lines, which are needed twice; without it they are parsed twice."""
+    lines = classified(read_lines(spark, path))
+    if aside:
+        lines.write.option("compression", "zstd").parquet(aside)
+        lines = spark.read.schema(lines.schema).parquet(aside)
+    return instructions(placed(lines)), initial_sp(lines)
 
 
 def instruction_at_offset(instruction: DataFrame, offset: int) -> DataFrame:

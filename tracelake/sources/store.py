@@ -7,7 +7,10 @@ built anew. Paths are read and written by Spark and Hadoop alone, so any file sy
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,9 @@ ORDER = {
 }
 
 
+_temporary: dict[str, str] = {}
+
+
 def checkpoint_spacing(size: int) -> int:
     """Positions between two checkpoints for a log of ``size`` bytes."""
     return next((spacing for below, spacing in SPACING if size < below), WIDEST_SPACING)
@@ -59,15 +65,54 @@ def read_manifest(spark: SparkSession, store: str) -> dict | None:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """By a temporary name, then renamed."""
-    fs, where = _files(spark, path)
+    """By a temporary name, then renamed over what is there, in one step where the file system can do that."""
+    jvm = spark.sparkContext._jvm
+    _, where = _files(spark, path)
     _, aside = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, _ = _files(spark, path)
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    fs.rename(aside, where)
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    files.rename(fs.makeQualified(aside), fs.makeQualified(where), overwrite)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder where driver and executors both write: in ``spark.checkpoint.dir``, or, on a local
+    master without that setting, a temporary one."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{shared.rstrip('/')}/trace-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = tempfile.mkdtemp(prefix="trace-")
+        atexit.register(shutil.rmtree, _temporary[app], ignore_errors=True)
+    return _temporary[app]
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in ``scratch``."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what this application has in ``scratch``, once no result that rests on it is needed."""
+    _remove(spark, scratch(spark))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to a scratch folder and read from there."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def _save(df: DataFrame, path: str, order: list[str]) -> DataFrame:
@@ -80,7 +125,8 @@ def build(spark: SparkSession, log: str, store: str, spacing: int | None = None)
     known = fingerprint(spark, log)
     spacing = spacing or checkpoint_spacing(known["size"])
     folder = f"{store}/{uuid.uuid4().hex}"
-    instruction, sp = read_trace(spark, log)
+    instruction, sp = read_trace(spark, log, f"{folder}/lines")
+    initial_sp = sp.first()[0]
     instruction = _save(instruction, f"{folder}/instruction", ORDER["instruction"])
     writes = _save(tables.register_writes(instruction), f"{folder}/register_write", ORDER["register_write"])
     count = (instruction.agg(F.max("idx")).first()[0] or 0) + 1 if instruction.head(1) else 0
@@ -88,8 +134,9 @@ def build(spark: SparkSession, log: str, store: str, spacing: int | None = None)
     _save(tables.mnemonic_counts(instruction), f"{folder}/mnemonic", ORDER["mnemonic"])
     _save(tables.def_use(instruction, writes), f"{folder}/def_use", ORDER["def_use"])
     _save(state.checkpoints(writes, count, spacing), f"{folder}/checkpoint", ORDER["checkpoint"])
-    manifest = {"version": VERSION, "log": known, "spacing": spacing, "count": count, "initial_sp": sp.first()[0], "folder": folder}
+    manifest = {"version": VERSION, "log": known, "spacing": spacing, "count": count, "initial_sp": initial_sp, "folder": folder}
     _write_text(spark, f"{store}/manifest.json", json.dumps(manifest))
+    _remove(spark, f"{folder}/lines")
     return manifest
 
 
