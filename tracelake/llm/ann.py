@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine with an inverted multi-index.
 
 Vectors are scaled to length one and cut into two halves; k-means on a bounded sample gives each half
-its centroids, and a vector's cell is its pair of nearest centroids. A query visits cells in order
-of the sum of both halves' squared distances, which a heap yields without sorting all pairs, until
-they hold as many entries as a calibration on a few queries asks for; every entry of a visited cell
-is scored exactly. Entries lie in blocks by cell; a cell with many entries is spread over several.
-A query goes to the blocks of its cells, in chunks of queries, so that no task holds an unbounded
-number of either.
+its centroids, whose number grows with the fourth root of the entries, and a vector's cell is its pair
+of nearest centroids. A query visits cells in order of the sum of both halves' squared distances, which
+a heap yields without sorting all pairs, until they hold as many entries as a calibration on a few
+queries asks for; every entry of a visited cell is scored exactly. Entries lie in blocks of neighbouring
+cells; a cell with many entries is spread over several. A query goes to the blocks of its cells. Where a
+block has many queries, they are dealt to chunks and the block is sent to each of its own chunks, so no
+task holds an unbounded number of either, and nothing is sent where no query looks.
 
 Defined cases
 - null or zero vectors, or ones with null or non-finite components, take no part; so do vectors of
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise
 
-#: Centroids of each half; rows to fit them on at most; rounds of k-means.
-CENTROIDS, SAMPLE, FIT_ROUNDS = 64, 20_000, 12
+#: Centroids of each half up to so many entries; rows to fit them on at most; rounds of k-means.
+CENTROIDS, FEW, SAMPLE, FIT_ROUNDS = 64, 50_000, 20_000, 12
 #: Entries of one block and queries of one chunk, about; entries of a cell that share a block at most.
 BLOCK_ROWS, CHUNK_QUERIES, CELL_ROWS = 16_384, 4_096, 4_096
 #: Queries that the number of visits is calibrated on, and the share of their neighbours to be found.
@@ -71,9 +72,24 @@ def k_means(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
     return centroids
 
 
-def fit_centroids(vectors: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of the first and the second half, from at most ``sample`` rows (of the smallest hashes)."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+def drawn(vectors: DataFrame, n: int, sample: int) -> DataFrame:
+    """At most ``sample`` of ``n`` rows (id, vector), those of the smallest hashes.
+
+    A threshold leaves about twice as many before they are put in order."""
+    rate = min(1.0, 2 * sample / max(1, n))
+    # The row's number tells repeated rows apart, so that they don't all pass together.
+    rows = vectors.withColumn("h", F.xxhash64("id", "vector", F.monotonically_increasing_id()))
+    return rows.where(F.shiftrightunsigned("h", 32) <= F.lit(int(rate * 0xFFFFFFFF))).orderBy("h", "id").limit(sample).drop("h")
+
+
+def centroids_for(n: int) -> int:
+    """How many centroids each half gets for ``n`` entries: cells grow with the square root of the entries."""
+    return int(CENTROIDS * max(1.0, n / FEW) ** 0.25)
+
+
+def fit_centroids(vectors: DataFrame, n: int, k: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of the first and the second half, from at most ``sample`` of ``n`` rows."""
+    rows = drawn(vectors, n, sample).select("vector").toArrow()
     if not rows.num_rows:
         return np.zeros((1, 0)), np.zeros((1, 0))
     x = _unit(_matrix(rows["vector"]))
@@ -162,7 +178,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 def calibrated_visits(entries: DataFrame, queries: DataFrame, centroids: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int, recall: float = RECALL, sample: int = CALIBRATION) -> int:
     """How many entries a query must visit for ``recall`` of a sample's true neighbours to be among them."""
-    some = queries.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    some = drawn(queries, queries.count(), sample).toArrow()
     if not some.num_rows:
         return k + 1
     x, first, second = _matrix(some["vector"]), *centroids
@@ -180,37 +196,42 @@ def calibrated_visits(entries: DataFrame, queries: DataFrame, centroids: tuple[n
     return max(k + 1, sorted(needed)[min(len(needed) - 1, int(recall * len(needed)))]) if needed else k + 1
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, visits: int | None = None, k_centroids: int = CENTROIDS) -> DataFrame:
+def blocks_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many parts each cell has, the number of its first part, and the block of each part.
+
+    Blocks are runs of parts of about BLOCK_ROWS entries, so neighbouring cells share one."""
+    splits = np.maximum(1, -(-counts // CELL_ROWS))
+    starts = np.cumsum(splits) - splits
+    sizes = np.repeat(counts / splits, splits)
+    return splits, starts, ((np.cumsum(sizes) - sizes) // BLOCK_ROWS).astype(np.int64)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, visits: int | None = None, k_centroids: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row (id, vector) that ``is_query`` picks.
 
     ``visits``: entries that a query visits at least; calibrated for a recall of RECALL if not given."""
-    centroids = fit_centroids(vectors, k_centroids)
+    n = in_small_batches(vectors).count()
+    centroids = fit_centroids(vectors, n, k_centroids or centroids_for(n))
     entries = materialise(with_cells(vectors, centroids), "entries")
-    cells = len(centroids[0]) * len(centroids[1])
-    counts = np.zeros(cells, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # one row for each of a fixed number of cells
+    counts = np.zeros(len(centroids[0]) * len(centroids[1]), np.int64)
+    for r in entries.groupBy("cell").count().collect():  # one row for each cell, as many as the square root of the entries
         counts[r["cell"]] = r["count"]
     queries = entries.where(is_query)
     if visits is None:
         visits = calibrated_visits(entries, queries, centroids, counts, k)
-    blocks = max(1, -(-int(counts.sum()) // BLOCK_ROWS))
-    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
-    splits = np.maximum(1, -(-counts // CELL_ROWS))
-    starts = np.concatenate(([0], np.cumsum(splits)))  # numbers all parts of all cells
-    sent = vectors.sparkSession.sparkContext.broadcast((centroids, counts, splits, starts))
+    sent = vectors.sparkSession.sparkContext.broadcast((centroids, counts, *blocks_of(counts)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries go to the block of their part of the cell, once for each chunk of queries."""
-        _, _, splits, starts = sent.value
+        """Entries go to the block of their part of the cell."""
+        _, _, splits, starts, block = sent.value
         for batch in batches:
             ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             part = starts[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits[cell]
-            for chunk in range(chunks):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part % blocks), pa.array(np.full(len(ids), chunk))], ["id", "vector", "cell", "block", "chunk"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block[part])], ["id", "vector", "cell", "block"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query and, for each block it must look at, the cells to visit there."""
-        (first, second), counts, splits, starts = sent.value
+        (first, second), counts, splits, starts, block = sent.value
         listed = counts.tolist()
         for batch in batches:
             if not batch.num_rows:
@@ -223,14 +244,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visits: int | None
                 order = np.array(traverse(near[i], far[i], listed, visits), np.int64)
                 n = splits[order]
                 owner = np.repeat(order, n)
-                part = np.repeat(starts[order] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(owner))
-                for block in np.unique(part % blocks).tolist():
-                    rows.append(i)
-                    out[0].append(np.unique(owner[part % blocks == block]).astype(np.int32))
-                    out[1].append(block)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            chunk = pa.array((ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.int64()), chunk], ["id", "vector", "cells", "block", "chunk"])
+                at = block[np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(len(owner))]
+                pairs = np.unique(np.stack((at, owner)), axis=1)
+                found, begin = np.unique(pairs[0], return_index=True)
+                rows += [i] * len(found)
+                out[0] += [cells.astype(np.int32) for cells in np.split(pairs[1], begin[1:])] if len(found) else []
+                out[1] += found.tolist()
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.int64())], ["id", "vector", "cells", "block"])
 
     def score(entries: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -249,7 +270,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visits: int | None
                     col.extend(values)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    placed = entries.mapInArrow(place, "id long, vector array<double>, cell int, block long, chunk long")
-    routed = queries.mapInArrow(route, "id long, vector array<double>, cells array<int>, block long, chunk long")
+    placed = entries.mapInArrow(place, "id long, vector array<double>, cell int, block long")
+    routed = materialise(queries.mapInArrow(route, "id long, vector array<double>, cells array<int>, block long"), "routed")
+    chunks = materialise(routed.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks")), "chunks")
+    placed = placed.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    routed = routed.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    placed, routed = placed.select("id", "vector", "cell", "block", "chunk"), routed.select("id", "vector", "cells", "block", "chunk")
     found = placed.groupBy("block", "chunk").cogroup(routed.groupBy("block", "chunk")).applyInArrow(score, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

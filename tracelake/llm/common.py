@@ -19,17 +19,38 @@ _local_dirs: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; Arrow batches are kept small because rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after Arrow batches of the session were made small, because rows hold whole texts or vectors."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores before it as make it differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
     Only a local master may run without that setting; it then gets a temporary folder of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
+        return f"{found.rstrip('/')}/tracelake-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
@@ -39,6 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what ``materialise`` has written in this application, once no result that rests on it is needed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage ends there, and an
     executor that is lost takes nothing with it. ``by``: a column whose values get a folder each."""

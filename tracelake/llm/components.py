@@ -17,14 +17,15 @@ def connected(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        # Written first, here and below: where one node has most of the edges, a join of two plain exchanges can be split.
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "least")
         # Large star: every larger neighbour is tied to the smallest one.
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         # What the smallest neighbours leave out: nodes whose own smallest neighbour is below them.
         large = large.unionByName(least.where("low < a").select("a", F.col("low").alias("b"))).distinct()
         large = materialise(large, "large-star")
         # Small star: every smaller neighbour, and the node itself, is tied to the smallest one.
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("low")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
         edges = materialise(small.where("a <> b").distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

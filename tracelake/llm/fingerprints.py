@@ -8,11 +8,14 @@ away, which frees others, until the digests of both sides are recovered or the p
 which case both tables are built again with four times the cells. The fingerprint is the table of
 the smallest size together with the number of paragraphs.
 
-Documents are cut into ranges of doc_id once, so that a text and its successor meet in one task.
+Documents are cut into ranges of doc_id (then of the text's hash) once, each a partition of its own, so that a text
+and its successor meet in one task. ``near_*`` of the result rest on tables of both whole sets, as many cells as peeling
+needs; the fingerprints that are returned have the smallest size, which is enough for versions that differ little.
 
 Defined cases
 - null text: empty, no paragraphs; two empty texts are alike (1.0).
-- Null doc_id: last in order. Equal doc_ids: in the order of their texts' digests.
+- Null doc_id: last in order. Equal doc_ids: in the order of their texts' hashes. Only rows that are equal in both
+  can't be told apart, so they are one range's.
 - One document: its own successor. Empty table: no rows. Other columns are not read.
 """
 
@@ -28,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_key
+from .common import in_small_batches
 from .shingles import mix
 
 #: Cells of the smallest table, in three parts; a stalled peeling gets WIDER times as many.
 CELLS, WIDER = 24, 4
 #: A line is cut after one in so many words, after each of a text's first words, and before it is LONGEST words long.
 CUT, FIRST, LONGEST = 4, 8, 32
-#: Bytes of text in one range of documents, about. The ranges' first doc_ids, 8 bytes each, are all that the driver sees.
-RANGE_BYTES = 16_000_000
+#: Bytes of text in one range of documents, about, and the corpus from which on ranges grow. The driver sees one row for
+#: each of PIECES pieces of a range.
+RANGE_BYTES, RANGES_GROW, PIECES = 16_000_000, 10**10, 4
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -176,40 +180,69 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - quarter] + after[:quarter]
 
 
-def _range_starts(docs: DataFrame, range_bytes: int) -> list[int]:
-    """The smallest doc_id of each range of about ``range_bytes`` bytes of text, in order."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // range_bytes) + 1
-    ids = docs.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id")
-    firsts = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"))
-    return sorted(r["first"] for r in firsts.collect())
+def _size_of_ranges(total: int, range_bytes: int) -> int:
+    """Bytes of one range: more in a larger corpus, so that the driver's list grows with its three quarters only."""
+    return int(range_bytes * max(1.0, total / RANGES_GROW) ** 0.25)
+
+
+def _range_starts(docs: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of about ``range_bytes`` bytes of text begin: the (doc_id, key) of the first row of each that
+    begins with a doc_id, in order, and the keys of those that begin without one.
+
+    Rows are first cut into PIECES times as many pieces of equal numbers of rows; neighbouring pieces make up a
+    range, so that long texts don't make one large."""
+    total = docs.agg(F.sum("size")).first()[0] or 0
+    range_bytes = _size_of_ranges(total, range_bytes)
+    order = [F.col("doc_id").asc_nulls_last(), "key"]
+    pieces = docs.select("doc_id", "key", "size").repartitionByRange(PIECES * (int(total // range_bytes) + 1), *order)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    found = pieces.groupBy(F.spark_partition_id().alias("at")).agg(first, F.sum("size").alias("size")).select("size", "first.*").orderBy("none", "doc_id", "key").toPandas()
+    # A piece begins a range where the bytes before it have passed another multiple of a range's.
+    before = np.cumsum(found["size"].to_numpy(np.int64)) - found["size"].to_numpy(np.int64)
+    found = found[np.diff(before // range_bytes, prepend=-1) > 0]
+    none = found["none"].to_numpy(bool)
+    ids = np.array([(i, k) for i, k in zip(found["doc_id"][~none], found["key"][~none], strict=True)], np.int64).reshape(-1, 2)
+    return ids, found["key"].to_numpy(np.int64)[none]
+
+
+def _place(ids: np.ndarray, none: np.ndarray, keys: np.ndarray, starts: np.ndarray, starts_without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each row and whether the row is (like) the first of it. ``none``: rows without a doc_id."""
+    n = len(starts)
+    low, high = np.searchsorted(starts[:, 0], ids, "left"), np.searchsorted(starts[:, 0], ids, "right")
+    at = high - 1
+    # Several ranges may begin with one doc_id; the keys tell them apart.
+    for a in np.unique(low[(high > low) & ~none]).tolist():
+        rows = np.flatnonzero((low == a) & (high > a) & ~none)
+        at[rows] = a + np.searchsorted(starts[a : high[rows[0]], 1], keys[rows], "right") - 1
+    at[none] = n + np.searchsorted(starts_without, keys[none], "right") - 1
+    all_keys = np.concatenate((starts[:, 1], starts_without))
+    same = np.where(none, at >= n, (at >= 0) & (at < n) & (low < high))
+    first = same & (all_keys[np.maximum(at, 0)] == keys) if len(all_keys) else same
+    return np.maximum(at, 0), first
 
 
 def successive(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(range, last, doc_id, text) in partitions that hold whole ranges in order of doc_id; a range ends
-    with rows of ``last``, the first of which is the first document of the next range."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    starts = np.array(_range_starts(docs, range_bytes), np.int64)
-    n = max(1, len(starts))
+    """(range, last, doc_id, text) in partitions that each hold one whole range in order of doc_id, then of the text's
+    hash; a range ends with rows of ``last``, the first of which is the first document of the next range."""
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text")})
+    starts, starts_without = _range_starts(docs, range_bytes)
+    n = max(1, len(starts) + len(starts_without))
+    sent = docs.sparkSession.sparkContext.broadcast((starts, starts_without))
 
     @F.pandas_udf("long")
-    def placed(ids: pd.Series) -> pd.Series:
-        """Twice the range, and one more for its first document; without any doc_id, all rows are that."""
-        if not len(starts):
-            return pd.Series(np.ones(len(ids), np.int64))
-        known = ids.notna().to_numpy()
-        at = np.full(len(ids), n - 1)
-        at[known] = np.searchsorted(starts, ids[known].to_numpy(np.int64), "right") - 1
-        first = np.zeros(len(ids), bool)
-        first[known] = ids[known].to_numpy(np.int64) == starts[at[known]]
+    def placed(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        """Twice the range, and one more for its first row."""
+        none = ids.isna().to_numpy()
+        at, first = _place(ids.fillna(0).to_numpy(np.int64), none, keys.to_numpy(np.int64), *sent.value)
         return pd.Series(2 * at + first)
 
-    rows = docs.withColumn("at", placed("doc_id"))
+    rows = docs.withColumn("at", placed("doc_id", "key"))
     own = F.floor(F.col("at") / 2).cast("int")
-    sent = F.when(F.col("at") % 2 == 1, F.array(own, F.pmod(own - 1, F.lit(n)))).otherwise(F.array(own))
-    rows = rows.select("doc_id", "text", F.posexplode(sent).alias("last", "range"))
-    order = ["range", "last", F.col("doc_id").asc_nulls_last(), hash_key(F.col("text"))]
-    return rows.repartition(n, "range").sortWithinPartitions(*order).select("range", "last", "doc_id", "text")
+    to = F.when(F.col("at") % 2 == 1, F.array(own, F.pmod(own - 1, F.lit(n)))).otherwise(F.array(own))
+    rows = rows.select("doc_id", "key", "text", F.posexplode(to).alias("last", "range"))
+    order = ["range", "last", F.col("doc_id").asc_nulls_last(), "key"]
+    return rows.repartitionById(n, F.col("range")).sortWithinPartitions(*order).select("range", "last", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, cells: int = CELLS) -> DataFrame:

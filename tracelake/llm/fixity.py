@@ -71,7 +71,8 @@ def _differing(nodes: DataFrame) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(record_id, archive, offset, length, status, digest, replica_digest) of the records that differ.
 
-    ``status``: changed, missing (in the right manifest) or extra."""
+    ``status``: changed, missing (in the right manifest) or extra. A record is one and the same if its id and digest
+    are; a missing one moves those behind it, whose blocks are looked through, but they aren't reported."""
     cols = ["record_id", "archive", "offset", "length", "digest"]
     records = left.select(F.lit(0).alias("side"), *cols).unionByName(right.select(F.lit(1).alias("side"), *cols))
     records = materialise(records.withColumn("block", F.expr(f"offset div {BLOCK_BYTES}")), "replicas")
@@ -89,11 +90,12 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         archive, block = up(step)
         bad = _differing(nodes.join(parents, (archive == F.col("above")) & (block == F.col("over")), "left_semi"))
     found = records.join(bad, ["archive", "block"], "left_semi")
-    side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
-    met = found.groupBy("archive", "offset").agg(
-        F.coalesce(side(0, "record_id"), side(1, "record_id")).alias("record_id"), F.coalesce(side(0, "length"), side(1, "length")).alias("length"),
-        side(0, "digest").alias("digest"), side(1, "digest").alias("replica_digest"),
-        side(0, "length").alias("m"), side(1, "length").alias("n"),
-    ).where("not (digest <=> replica_digest and m <=> n)")
-    status = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").otherwise("changed")
-    return met.select("record_id", "archive", "offset", "length", status.alias("status"), "digest", "replica_digest")
+    # What both sides hold, wherever it lies, is no difference. The rest is matched by record within its archive.
+    sides = lambda rows, keys, *said: rows.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.struct(*said))).alias(f"of_{n}") for n in (0, 1)])
+    alone = sides(found, ["archive", "record_id", "digest"], "offset", "length").where("of_0 is null or of_1 is null")
+    alone = alone.select("archive", "record_id", "digest", F.col("of_0").isNull().cast("int").alias("side"), F.coalesce("of_0", "of_1").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("archive", "record_id", "side").orderBy("at", "digest"))
+    met = sides(alone.withColumn("rank", rank), ["archive", "record_id", "rank"], "at.offset", "at.length", "digest")
+    either = lambda c: F.coalesce(F.col(f"of_0.{c}"), F.col(f"of_1.{c}")).alias(c)
+    status = F.when(F.col("of_0").isNull(), "extra").when(F.col("of_1").isNull(), "missing").otherwise("changed")
+    return met.select("record_id", "archive", either("offset"), either("length"), status.alias("status"), F.col("of_0.digest").alias("digest"), F.col("of_1.digest").alias("replica_digest"))

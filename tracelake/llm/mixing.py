@@ -8,8 +8,8 @@ small row per source, so the texts themselves are never shuffled.
 Defined cases
 - null text: size 0, taken 0. Null source: a source of its own, ordered last.
 - Repeated rows and other rows with equal keys share what is left at the cut evenly (rounded down).
-- Empty table: no rows. Extra columns pass through ``mix_documents``; names that clash with those it
-  adds must be renamed before (``mix_sizes`` only reads the columns it is given).
+- Empty table: no rows. Extra columns pass through ``mix_documents``, whatever their names;
+  ``mix_sizes`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_key, key_block, materialise, word_count
+from .common import fresh, hash_key, key_block, materialise, named, word_count
 
 #: Rows of one key range, and ranges of one range of ranges.
 BLOCK_ROWS = 4096
@@ -118,20 +118,14 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
-    The document at a source's cut comes last with its first words only, joined by single blanks,
-    and ``n_chars`` (where there is such a column) counts what is left."""
-    cols = docs.columns
-    size, key = word_count(F.col("text")), hash_key(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sizes = materialise(docs.select("source", size.alias("size"), key.alias("key")), "mix-sizes")
-    plan = mix_plan(sizes, weights, max_epochs).withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target"})
-    rows = docs.withColumn("_size", size).withColumn("_key", key)
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_s"]))
-    whole = F.col("epochs") + F.when((F.col("_key") < F.col("cut_key")) & (F.col("_size") > 0), 1).otherwise(0)
-    part = F.when(F.col("_key") == F.col("cut_key"), F.least("_size", "cut_words")).otherwise(0)
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.where(F.col("_size") > 0).withColumn("_take", F.explode(copies))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_take"), F.lit(0)).cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_take") < 0, F.col("text")).otherwise(words))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*cols)
+    Documents stay whole: the one at a source's cut is taken once more if at least half of it is within the
+    budget. So a source misses its target by half of that document at most (or of the rows that share its key)."""
+    size_of, key_of, plan_of, take = fresh(docs, "size", "key", "plan", "take")
+    rows = docs.withColumn(size_of, word_count(F.col("text"))).withColumn(key_of, hash_key(F.lit(seed), F.col("doc_id"), F.col("text")))
+    sizes = materialise(rows.select("source", named(size_of).alias("size"), named(key_of).alias("key")), "mix-sizes")
+    plan = mix_plan(sizes, weights, max_epochs)
+    rows = rows.join(plan.select(F.struct("*").alias(plan_of)), named("source").eqNullSafe(F.col(plan_of)["source"]))
+    size, key, of = named(size_of), named(key_of), F.col(plan_of)
+    more = (key < of["cut_key"]) | ((key == of["cut_key"]) & (2 * of["cut_words"] >= size))
+    times = F.when(size > 0, of["epochs"] + more.cast("int")).otherwise(0)
+    return rows.withColumn(take, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*map(named, docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, in_small_batches, materialise, named
 from .components import connected
 from .shingles import _odd, mix, shingle_sets
 
@@ -63,9 +63,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, ``_row``; written, so that a row keeps its number however often it is read."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows with a number each, ``name``; written, so that a row keeps its number however often it is read."""
+    return materialise(in_small_batches(docs).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def signed_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -185,7 +185,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     One row of each component stays: that of the least doc_id, rows without one last, then by the digest
     of its set, then by number. So of repeated rows one stays, of a component without any doc_id too, and
-    of two texts under one doc_id only the one that is another's copy goes. Texts without shingles all stay."""
-    docs = numbered(docs)
-    gone = _named_rows(docs, size, percent).where("not kept").select(F.col("row").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs["_row"] == F.col("_gone"), "left_anti").drop("_row")
+    of two texts under one doc_id only the one that is another's copy goes. Texts without shingles all stay.
+    All columns pass through, whatever their names."""
+    row, number = fresh(docs, "row", "gone")
+    docs = numbered(docs, row)
+    gone = _named_rows(docs.select(named(row).alias("_row"), "doc_id", "text"), size, percent).where("not kept").select(F.col("row").alias(number))
+    return docs.join(gone.hint("shuffle_hash"), named(row) == named(number), "left_anti").drop(row)

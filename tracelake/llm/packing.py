@@ -8,7 +8,7 @@ logarithmic time. A group wastes about one sequence, so the loss is below one in
 Defined cases
 - null or empty text: the end token alone. Null doc_id: kept; its pieces carry the null.
 - Repeated rows are separate documents. Very long texts are cut; no text is shortened.
-- Empty table: no rows. Columns other than doc_id and text are not read.
+- Empty table: no rows. Columns other than doc_id and text are not read; ``pack`` passes those of its pieces on.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, in_small_batches, materialise
 from .tokenizers_cache import byte_bpe
 
 SEQUENCE = 1024
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 class CapacityTree:
@@ -115,15 +115,17 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, group_pieces: int = GROUP_PI
     groups = max(1, -(-total // group_pieces))
     fields = [f for f in pieces.schema.fields]
 
+    (at_group,) = fresh(pieces, "group")
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["_group"]).sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.drop_columns([at_group]).sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         at, offset = best_fit(table["length"].to_numpy(), length)
         return table.append_column("sequence_id", pa.array(at * groups + key[0].as_py())).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-    # Not by length or source: every group then has about the same mix of lengths.
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    return pieces.withColumn("_group", group).groupBy("_group").applyInArrow(run, schema)
+    # Not by length or source: every group then has about the same mix of lengths. The row's number tells equal rows apart.
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    return pieces.withColumn(at_group, group).groupBy(at_group).applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:

@@ -9,8 +9,9 @@ table entries. Fitting takes a bounded sample of labelled rows; scoring is one p
 Defined cases
 - null or empty text: all features zero; it gets a score like any other.
 - Null doc_id: never held out. Labels that are null or neither 0 nor 1 are not used; a document with
-  several labels counts once for each. No labels of both kinds: the score is the share of ones
-  (0.5 without any label). Repeated rows: a result each. Empty table: no rows.
+  both labels counts once for each, and one with several texts by the text of the least hash. No labels of
+  both kinds: the score is the share of ones (0.5 without any label). Repeated rows: a result each. Empty
+  table: no rows.
 - Columns other than doc_id and text are not read; ``accepted`` passes them through.
 """
 
@@ -27,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents are used to fit the model (those of the smallest hashes of doc_id).
+from .common import in_small_batches
+
+#: At most so many labels are used to fit the model (those of the smallest hashes of doc_id).
 SAMPLE = 20_000
 BINS, ROUNDS, PAIR_ROUNDS, PAIRS = 32, 200, 60, 6
 RATE, SMOOTH = 0.1, 1.0
@@ -167,16 +170,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents that are not held out.
 
     The sample of labels is small enough to broadcast by its own bound; only its documents' features,
-    not their texts, come to the driver."""
+    not their texts, come to the driver, one row for each label."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
+    known = known.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    # A threshold of hashes leaves about twice the sample; the order picks the sample among those.
+    rate = min(1.0, 2 * sample / max(1, known.count()))
+    known = known.where(F.shiftrightunsigned(F.xxhash64("_id"), 32) <= F.lit(int(rate * 0xFFFFFFFF))).orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table_of(batch.column(1).to_pylist())), pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(table_of(batch.column(3).to_pylist())), pa.list_(pa.float64()))], ["id", "quality", "h", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("quality", "text")
-    found = rows.mapInArrow(run, "quality int, x array<double>").toPandas()
+    rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = rows.select(F.col("_id").cast("string").alias("id"), "quality", F.xxhash64("text").alias("h"), "text")
+    found = rows.mapInArrow(run, "id string, quality int, h long, x array<double>").groupBy("id", "quality").agg(F.min_by("x", F.struct("h", "x")).alias("x")).toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, found["quality"].to_numpy()])  # the same model however rows arrive
     return fit(x[order], found["quality"].to_numpy(np.float64)[order])
@@ -202,5 +209,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier takes for good ones, with their columns as they are."""
-    score = scorer(docs, learn(docs, labels, sample))
-    return docs.withColumn("_score", score("text")).where("_score >= 0.5").drop("_score")
+    return docs.where(scorer(docs, learn(docs, labels, sample))("text") >= 0.5)
