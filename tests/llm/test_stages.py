@@ -56,7 +56,7 @@ def test_sequences_are_filled(spark):
     texts = corpus(30)
     rows = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
     encode = byte_bpe("byte_bpe_50k")
-    have = packing.fill_sequences(packing.pack(packing.token_pieces(rows, length=64), 64)).collect()
+    have = packing.packed_sequences(rows, length=64).collect()
     pieces = [tuple(r.ids[a:b]) for r in have for a, b in zip(r.starts, [*r.starts[1:], len(r.ids)], strict=True)]
     want = []
     for t in texts:
@@ -264,7 +264,14 @@ def test_pipeline_in_plain_python(spark, sf_dir, tmp_path):
     for places in sequences.values():
         lengths = [n for _, n in sorted(places)]
         assert sum(lengths) <= 1024 and [o for o, _ in sorted(places)] == np.cumsum([0, *lengths])[:-1].tolist()
-    assert len(sequences) <= sum(k[3] * n for k, n in want.items()) / 1024 + 1.5
+    # As many sequences as best-fit decreasing over all pieces needs.
+    room: list[int] = []
+    for n in sorted((k[3] for k, times in want.items() for _ in range(times)), reverse=True):
+        able = [c for c in room if c >= n]
+        if able:
+            room.remove(min(able))
+        room.append((min(able) if able else 1024) - n)
+    assert len(sequences) == len(room)
 
 
 def test_audit_of_a_replica_in_which_records_moved(spark):

@@ -90,12 +90,20 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         archive, block = up(step)
         bad = _differing(nodes.join(parents, (archive == F.col("above")) & (block == F.col("over")), "left_semi"))
     found = records.join(bad, ["archive", "block"], "left_semi")
-    # What both sides hold, wherever it lies, is no difference. The rest is matched by record within its archive.
-    sides = lambda rows, keys, *said: rows.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.struct(*said))).alias(f"of_{n}") for n in (0, 1)])
-    alone = sides(found, ["archive", "record_id", "digest"], "offset", "length").where("of_0 is null or of_1 is null")
-    alone = alone.select("archive", "record_id", "digest", F.col("of_0").isNull().cast("int").alias("side"), F.coalesce("of_0", "of_1").alias("at"))
-    rank = F.row_number().over(Window.partitionBy("archive", "record_id", "side").orderBy("at", "digest"))
-    met = sides(alone.withColumn("rank", rank), ["archive", "record_id", "rank"], "at.offset", "at.length", "digest")
+    # What both sides hold equally often, wherever it lies, is no difference.
+    found = materialise(found.withColumn("group", F.shiftright("archive", SPLIT_BITS)), "suspects")
+    on = lambda n: F.sum((F.col("side") == n).cast("int"))
+    uneven = found.groupBy("group", "record_id", "digest").agg(on(0).alias("n"), on(1).alias("m")).where("n <> m")
+    uneven = materialise(uneven.select(F.col("group").alias("g"), F.col("record_id").alias("r"), F.col("digest").alias("d")), "uneven")
+    found = found.join(uneven, (F.col("group") == F.col("g")) & F.col("record_id").eqNullSafe(F.col("r")) & F.col("digest").eqNullSafe(F.col("d")), "left_semi")
+    # The rest is matched within an archive, which is bounded: first by record and digest, then by record.
+    at = F.struct("offset", "length", "digest")
+    sides = lambda rows, keys: rows.groupBy(*keys, "rank").agg(*[F.max(F.when(F.col("side") == n, F.col("at"))).alias(f"of_{n}") for n in (0, 1)])
+    ranked = lambda rows, keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy("side", *keys).orderBy("at")))
+    keys = ["archive", "record_id"]
+    alone = sides(ranked(found.select("side", *keys, "digest", at.alias("at")), [*keys, "digest"]), [*keys, "digest"]).where("of_0 is null or of_1 is null")
+    alone = alone.select(*keys, F.col("of_0").isNull().cast("int").alias("side"), F.coalesce("of_0", "of_1").alias("at"))
+    met = sides(ranked(alone, keys), keys)
     either = lambda c: F.coalesce(F.col(f"of_0.{c}"), F.col(f"of_1.{c}")).alias(c)
     status = F.when(F.col("of_0").isNull(), "extra").when(F.col("of_1").isNull(), "missing").otherwise("changed")
     return met.select("record_id", "archive", either("offset"), either("length"), status.alias("status"), F.col("of_0.digest").alias("digest"), F.col("of_1.digest").alias("replica_digest"))

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_small_batches, materialise
+from .common import in_small_batches, materialise
 from .tokenizers_cache import byte_bpe
 
 SEQUENCE = 1024
 END_ID = 2
-#: Pieces that one task packs; bounds its memory and time.
-GROUP_PIECES = 50_000
+#: Pieces that one task packs; bounds its memory and time. Fewer where they carry their ids.
+GROUP_PIECES, GROUP_WITH_IDS = 50_000, 10_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
@@ -113,28 +113,34 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, group_pieces: int = GROUP_PI
     """``pieces`` (with ``length``) and where each one goes: ``sequence_id`` and ``offset``."""
     total = pieces.count()
     groups = max(1, -(-total // group_pieces))
-    fields = [f for f in pieces.schema.fields]
-
-    (at_group,) = fresh(pieces, "group")
+    # Plain names, because grouped Arrow functions don't take every one.
+    plain = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.drop_columns([at_group]).sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        at, offset = best_fit(table["length"].to_numpy(), length)
+        table = table.drop_columns(["in_group"]).sort_by([(plain[c], "ascending") for c in ("ids_crc32", "doc_id", "piece")])
+        at, offset = best_fit(table[plain["length"]].to_numpy(), length)
         return table.append_column("sequence_id", pa.array(at * groups + key[0].as_py())).append_column("offset", pa.array(offset))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    rows = pieces.toDF(*plain.values())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sequence_id long, offset long"
     # Not by length or source: every group then has about the same mix of lengths. The row's number tells equal rows apart.
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
-    return pieces.withColumn(at_group, group).groupBy(at_group).applyInArrow(run, schema)
+    group = F.pmod(F.xxhash64(*[plain[c] for c in ("doc_id", "piece", "ids_crc32")], F.monotonically_increasing_id()), F.lit(groups))
+    packed = rows.withColumn("in_group", group).groupBy("in_group").applyInArrow(run, schema)
+    return packed.toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Where each piece of each document goes: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    The tokens are written once without their ids; ``fill_sequences`` puts the ids themselves together."""
+    The tokens are written once without their ids; ``packed_sequences`` gives the sequences themselves."""
     return pack(materialise(token_pieces(docs, vocabulary, length, end_id, keep_ids=False), "pieces"), length)
 
 
+def packed_sequences(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """(sequence_id, ids, doc_ids, starts): the sequences that training reads."""
+    return fill_sequences(pack(materialise(token_pieces(docs, vocabulary, length, end_id), "pieces"), length, GROUP_WITH_IDS))
+
+
 def fill_sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids, doc_ids, starts): whole sequences, from ``pack`` over ``token_pieces`` with ids.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise
 from .tokenizers_cache import piece_model
 
 MODEL = "piece_bpe_32k.model"
@@ -90,7 +90,7 @@ def piece_counts(counted: DataFrame, model: str = MODEL) -> DataFrame:
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     counts = materialise(piece_counts(frequencies(docs, pre_tokens), model), "pre-tokens")
     known = hot_tokens(counts, hot).select("token", "pieces").toPandas()
     sent = spark.sparkContext.broadcast(dict(zip(known["token"], known["pieces"].tolist(), strict=True)))
