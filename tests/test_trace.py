@@ -79,6 +79,71 @@ def test_golden_searches(golden):
     assert golden.find_next("0x7a1c2b3d48", 2).first()["idx"] == 2
 
 
+def test_narrow_tables_kinds_and_gates(golden, spark):
+    assert [r[0] for r in golden.by_mnemonic.where("mnemonic = 'ldr'").orderBy("idx").select("idx").collect()] == [0, 3]
+    assert golden.count_by_offset("0x1d48").first()[0] == 1 and golden.nth_by_offset("0x1d4c", 0).first()[0] == 3 and golden.nth_by_offset("0x1d4c", 1).first() is None
+    assert golden.nth_by_mnemonic("ld", 1).first()[0] == 3
+    assert golden.all_by_address("0x7fc0", kinds=("R",)).count() == 0
+    assert golden.all_by_address("0x7fc0", kinds=("W", "R")).count() == 1
+    for run, term in ((golden.all_by_address, "0x12"), (golden.all_by_offset, "1d48"), (golden.all_by_offset, "0x12345678"), (golden.all_by_mnemonic, "4x"), (golden.all_by_data, "  ")):
+        with pytest.raises(ValueError):
+            run(term)
+    kinds = spark.createDataFrame([("load",), ("write",), ("calc",), ("other",), ("",), (None,)], "k string").select(lineage.event_kind(F.col("k"))).collect()
+    assert [k[0] for k in kinds] == ["读取", "写入", "计算", "other", "-", "-"]
+    rows, more = search.limited(golden.all_by_mnemonic("ld*"), 1)
+    assert rows.count() == 1 and more and search.limited(golden.all_by_mnemonic("ld*"), None)[1] is False
+    found = search.sorted_by(golden.all_by_mnemonic("l*"), "memory_address", descending=True)
+    assert [r["index"] for r in found.collect()] == [0, 3] and [r["index"] for r in search.result_page(found, 1, 5).collect()] == [3]
+
+
+def test_exports_and_panels(golden, tmp_path):
+    found = golden.all_by_mnemonic("ld*")
+    store.write_tsv(found, str(tmp_path / "out"))
+    lines = [line for file in sorted((tmp_path / "out").glob("part-*.csv")) for line in file.read_text().splitlines()]
+    assert lines[0] == "\t".join(found.columns) and [r.line for r in store.tsv_lines(found).collect()][0].split("\t")[:2] == ["0", "1"]
+    grid = [r.line for r in store.fixed_width_lines(golden.page(1, 1)).collect()]
+    assert grid == ["2      0x7a1c2b3d44   0x1d44     add      w1, w0, #1                               w0=0x1234 w1=0x0 => w1=0x1235"]
+    assert golden.memory_panel(2).first().text == "W 0x7fc0 size 16: 0x1234, 0x1235"
+    assert {r.idx: r.writes for r in tables.write_sets(golden.register_write).collect()} == {0: ["X0"], 1: ["X1"], 2: ["SP"], 3: ["X2"]}
+
+
+EDGES = [0, 4, 2**63 - 3, 2**63 - 1, 2**63, 2**64 - 8, 2**64 - 1]
+
+
+def signed(n):
+    n %= 2**64
+    return n - 2**64 if n >= 2**63 else n
+
+
+def test_addresses_wrap_and_accesses_are_of_any_size(spark):
+    rows = [(i, 0, "W", a, s) for i, (a, s) in enumerate((a, s) for a in EDGES for s in (1, 8, 20))] + [(50, 0, "W", 2**40, 70_000)]
+    rows += [(100 + i, 0, "R", a, s) for i, (a, s) in enumerate((a + d, s) for a in EDGES for d in (-3, 0, 5) for s in (1, 8))] + [(300, 0, "R", 2**40 + 66_000, 4), (301, 0, "R", 2**40 + 70_000, 4)]
+    df = spark.createDataFrame([(i, s, k, signed(a), n) for i, s, k, a, n in rows], "idx long, slot int, kind string, addr long, size int")
+    overlap = lambda a, n, b, m: (b - a) % 2**64 < n or (a - b) % 2**64 < m
+    want = {i: max((j for j, _, k, b, m in rows if k == "W" and j < i and overlap(a, n, b, m)), default=None) for i, _, k, a, n in rows if k == "R"}
+    assert {x["idx"]: x["write_idx"] for x in lineage.previous_overlapping_writes(df).collect()} == want and want[300] == 50 and want[301] is None
+    stores = df.where("kind = 'W'").withColumns({"value_bytes": F.lit(None).cast("string"), "source_registers": F.lit(None).cast("array<string>")})
+    for i, _, k, a, n in rows:
+        if k == "R" and i % 5 == 0:
+            found = lineage.previous_matching_write(stores, i - 1, signed(a), n, None).first()
+            assert (found["idx"] if found else None) == want[i]
+
+
+def test_matching_bytes_of_wide_and_wrapping_stores(spark):
+    rows = [(1, 0, "W", signed(2**64 - 2), 4, "aabbccdd", ["X1"]), (2, 0, "W", 0, 70_000, "ee" * 70_000, ["X2"]), (3, 0, "W", 100, 1, "00", ["X3"])]
+    stores = spark.createDataFrame(rows, "idx long, slot int, kind string, addr long, size int, value_bytes string, source_registers array<string>")
+    at = lambda addr, size, value: (lineage.previous_matching_write(stores, 9, signed(addr), size, value).first() or {"idx": None})["idx"]
+    assert at(2**64 - 1, 3, "bbccdd") == 1 and at(66_000, 4, "eeeeeeee") == 2 and at(66_000, 4, "eeeeee00") is None and at(100, 1, "00") == 3 and at(1, 1, "dd") == 1
+
+
+def test_a_block_that_spans_two_files_keeps_its_order(spark, tmp_path):
+    read = lambda v: f"memory read at 0x{v}, instruction address = 0x1, data size = 1, data value = {v}\n"
+    (tmp_path / "a.txt").write_text('[m 0x1] 0x1000: "ldr x1, [x2]" x2=0x10 => x1=0x1\n' + "padding that is long enough to matter\n" + read("aa"))
+    (tmp_path / "b.txt").write_text(read("bb") + '[m 0x2] 0x1004: "nop"\n')
+    rows = logs.read_trace(spark, str(tmp_path))[0].orderBy("idx").collect()
+    assert [o.data_value for o in rows[0].memory_ops] == ["aa", "bb"] and [line[:8] for line in rows[0].raw_lines] == ["[m 0x1] ", "padding ", "memory r", "memory r"] and len(rows) == 2
+
+
 def test_wrap(spark):
     matches = spark.createDataFrame([(2,), (9,)], "idx long")
     assert [search.next_of(matches, s).first()[0] for s in (5, 10, 9)] == [9, 2, 9]

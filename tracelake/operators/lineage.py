@@ -8,7 +8,7 @@ Addresses are unsigned and wrap at 2^64, and accesses may be of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -107,6 +107,16 @@ MESSAGES = {
 }
 
 
+#: What the kinds of events of ``provenance`` are called.
+KINDS = {"load": "读取", "write": "写入", "calc": "计算"}
+
+
+def event_kind(kind: Column) -> Column:
+    """The label of an event's kind; others as they are, ``-`` for none."""
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), kind), kind)
+    return F.coalesce(F.nullif(label, F.lit("")), F.lit("-"))
+
+
 def load_context(instruction: DataFrame, register: str, from_idx: int, lookback: int = 120) -> DataFrame:
     """At most one row: the newest load in [from_idx - lookback, from_idx] that writes the register (at ``from_idx``
     any load), with the address, size and bytes of the register's share of it."""

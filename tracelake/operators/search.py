@@ -34,7 +34,7 @@ def next_by_address(instruction: DataFrame, term: str, start: int) -> DataFrame:
 
 
 def at_offset(instruction: DataFrame, term: str) -> DataFrame:
-    """The instructions at a module offset, by its number."""
+    """The rows at a module offset, by its number; of ``instruction`` or of the narrow table ``by_offset``."""
     text = terms.hex_term(term)
     return instruction.where(F.col("offset_val") == _number(text)) if text else instruction.limit(0)
 
@@ -43,9 +43,11 @@ def next_by_offset(instruction: DataFrame, term: str, start: int) -> DataFrame:
     return next_of(at_offset(instruction, term).select("idx"), start)
 
 
-def with_address_prefix(accesses: DataFrame, term: str) -> DataFrame:
-    """Accesses whose address begins with the digits of ``term``, as a number and as the log writes it."""
+def with_address_prefix(accesses: DataFrame, term: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Accesses whose address begins with the digits of ``term``, as a number and as the log writes it; of some kinds
+    (R, W, D, D*) or of all."""
     text = terms.address_digits(term)
+    accesses = accesses.where(F.col("kind").isin(*kinds)) if kinds else accesses
     rows = accesses.where(F.col("addr_hex").startswith(text) & digits(F.col("address")).startswith(text) & F.lit(bool(text)))
     # The bucket follows from the prefix; it lets a store by bucket be pruned.
     return rows.where(F.col("bucket") == text[:6]) if len(text) >= 6 else rows
@@ -77,16 +79,16 @@ def next_by_text(instruction: DataFrame, term: str, start: int) -> DataFrame:
     return next_of(instruction.where(hit).select("idx"), start)
 
 
-def find_next(instruction: DataFrame, accesses: DataFrame, term: str, start: int) -> DataFrame:
+def find_next(instruction: DataFrame, accesses: DataFrame, term: str, start: int, by_offset: DataFrame | None = None) -> DataFrame:
     """One row (idx, how) for a free term: by exact address, then module offset, then memory address, then text.
 
-    An address-like term with 0x is not sought as text."""
+    An address-like term with 0x is not sought as text. ``by_offset``: the narrow table, if there is one."""
     term, start = (term or "").strip(), max(0, start)
     ways: list[tuple[str, DataFrame]] = []
     if terms.exact_address(term):
         ways.append(("address", next_by_address(instruction, term, start)))
     if term.lower().startswith("0x"):
-        ways.append(("offset", next_by_offset(instruction, term, start)))
+        ways.append(("offset", next_by_offset(instruction if by_offset is None else by_offset, term, start)))
     if terms.is_address(term):
         ways.append(("memory", next_by_memory_address(accesses, term, start)))
     if term and not (terms.is_address(term) and term.lower().startswith("0x")):
@@ -105,9 +107,9 @@ def _described(rows: DataFrame) -> DataFrame:
     ).select("*", "s.memory_address", "s.data").drop("s")
 
 
-def all_by_address(instruction: DataFrame, accesses: DataFrame, term: str) -> DataFrame:
+def all_by_address(instruction: DataFrame, accesses: DataFrame, term: str, kinds: tuple[str, ...] = ()) -> DataFrame:
     """Every access whose address begins with ``term``: index, line, instruction_address, access, memory_address, data."""
-    hits = with_address_prefix(accesses, term).select("idx", F.col("kind").alias("access"), F.col("address").alias("memory"), "data_value")
+    hits = with_address_prefix(accesses, term, kinds).select("idx", F.col("kind").alias("access"), F.col("address").alias("memory"), "data_value")
     rows = hits.join(instruction.select("idx", "address"), "idx")
     data = F.when(F.col("access").isin("R", "W"), value_with_detail(F.col("data_value"))).otherwise(F.col("data_value"))
     out = rows.select(F.col("idx").alias("index"), (F.col("idx") + 1).alias("line"), shown_address(F.col("address")).alias("instruction_address"), "access", shown_address(F.col("memory")).alias("memory_address"), data.alias("data"))

@@ -99,6 +99,16 @@ def memory_accesses(instruction: DataFrame, slots: int | None = None) -> DataFra
     return rows.select("idx", "slot", "kind", "addr", "addr_hex", address_bucket(F.col("addr_hex")).alias("bucket"), "size", "address", "data_value", "value_bytes", "source_registers")
 
 
+def by_offset(instruction: DataFrame) -> DataFrame:
+    """The table ``by_offset``: positions by module offset, where that is a number."""
+    return instruction.where("offset_val is not null").select("offset_val", "idx")
+
+
+def by_mnemonic(instruction: DataFrame) -> DataFrame:
+    """The table ``by_mnemonic``: positions by mnemonic."""
+    return instruction.select("mnemonic", "idx")
+
+
 def mnemonic_counts(instruction: DataFrame) -> DataFrame:
     """The table ``mnemonic``: each one's count and first position."""
     return instruction.groupBy("mnemonic").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
@@ -106,8 +116,7 @@ def mnemonic_counts(instruction: DataFrame) -> DataFrame:
 
 def write_sets(writes: DataFrame) -> DataFrame:
     """(idx, writes): the sorted registers that an instruction writes, as data flow sees them."""
-    reg = taint_register(F.col("register"))
-    return writes.groupBy("idx").agg(F.array_sort(F.collect_set(reg)).alias("writes"))
+    return writes.groupBy("idx").agg(F.array_sort(F.collect_set(taint_register(F.col("register")))).alias("writes"))
 
 
 def register_uses(instruction: DataFrame) -> DataFrame:

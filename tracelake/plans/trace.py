@@ -25,6 +25,8 @@ class Trace:
     memory_access: DataFrame
     mnemonic: DataFrame
     def_use: DataFrame
+    by_offset: DataFrame
+    by_mnemonic: DataFrame
     checkpoint: DataFrame | None = None
     spacing: int = 0
     initial_sp: str | None = None
@@ -39,7 +41,8 @@ class Trace:
     def of(cls, instruction: DataFrame) -> Trace:
         """A trace whose other tables follow from ``instruction`` as they are asked for."""
         writes = tables.register_writes(instruction)
-        return cls(instruction, writes, tables.memory_accesses(instruction), tables.mnemonic_counts(instruction), tables.def_use(instruction, writes))
+        accesses, mnemonics, uses = tables.memory_accesses(instruction), tables.mnemonic_counts(instruction), tables.def_use(instruction, writes)
+        return cls(instruction, writes, accesses, mnemonics, uses, tables.by_offset(instruction), tables.by_mnemonic(instruction))
 
     @classmethod
     def load(cls, spark: SparkSession, log: str) -> Trace:
@@ -78,21 +81,39 @@ class Trace:
         return "next", self.find_next(term, selected + 1)
 
     def find_next(self, term: str, start: int = 0) -> DataFrame:
-        return search.find_next(self.instruction, self.memory_access, term, start)
+        return search.find_next(self.instruction, self.memory_access, term, start, self.by_offset)
 
-    def all_by_address(self, term: str) -> DataFrame:
+    def all_by_address(self, term: str, kinds: tuple[str, ...] = ()) -> DataFrame:
         """Needs four hexadecimal digits or more."""
         if not terms.is_address(term):
             raise ValueError("an address search needs at least four hexadecimal digits")
-        return search.all_by_address(self.instruction, self.memory_access, term)
+        return search.all_by_address(self.instruction, self.memory_access, term, kinds)
 
     def all_by_offset(self, term: str) -> DataFrame:
+        """Needs 0x and fewer than eight digits."""
+        if not terms.is_offset((term or "").strip()):
+            raise ValueError("an offset search needs 0x and one to seven hexadecimal digits")
         return search.all_by_offset(self.instruction, term)
 
+    def count_by_offset(self, term: str) -> DataFrame:
+        return search.count_by_offset(self.by_offset, term)
+
+    def nth_by_offset(self, term: str, n: int) -> DataFrame:
+        return search.nth_by_offset(self.by_offset, term, n)
+
     def all_by_mnemonic(self, term: str) -> DataFrame:
+        """Needs a letter first; may end in an asterisk."""
+        if not terms.is_mnemonic(term):
+            raise ValueError("a mnemonic search needs a mnemonic or the beginning of one")
         return search.all_by_mnemonic(self.instruction, self.mnemonic, term)
 
+    def nth_by_mnemonic(self, term: str, n: int) -> DataFrame:
+        return search.nth_by_mnemonic(self.by_mnemonic, self.mnemonic, term, n)
+
     def all_by_data(self, term: str) -> DataFrame:
+        """Needs anything but blanks."""
+        if not terms.data_term(term):
+            raise ValueError("a data search needs a value or text")
         return search.all_by_data(self.instruction, term)
 
     def _checkpointed(self) -> dict:

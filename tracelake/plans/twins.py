@@ -59,9 +59,10 @@ def columns_of(step: str) -> list[str]:
     return [e.strip() for e in out]
 
 
-def twin(spark: SparkSession, sf_dir: str) -> Trace:
-    """The trace, its instructions written once because every other table reads them."""
-    return Trace.of(written(instructions(classified(lines(spark, sf_dir))), "instruction"))
+def twin(spark: SparkSession, sf_dir: str, kept: bool = False) -> Trace:
+    """The trace; its instructions are written once (``kept``) for what reads them more than once."""
+    rows = instructions(classified(lines(spark, sf_dir)))
+    return Trace.of(written(rows, "instruction") if kept else rows)
 
 
 def _sql(body: str, recursive: bool = False) -> str:
@@ -99,7 +100,7 @@ def register_state_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = twin(spark, sf_dir)
-    return state.checkpoints(trace.register_write, trace.count(), SPACING)
+    return state.checkpoints(written(trace.register_write, "register_write"), trace.count(), SPACING)
 
 
 def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def previous_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def definition_of_every_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).def_use
+    return twin(spark, sf_dir, kept=True).def_use
 
 
 def previous_overlapping_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,14 +141,14 @@ def previous_overlapping_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backward_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = twin(spark, sf_dir)
+    trace = twin(spark, sf_dir, kept=True)
     rows = lineage.taint_slice(trace.instruction, trace.register_write, written(trace.def_use, "def_use"), REG, trace.count() - 1, STEPS_SHOWN)
     lists = ("hit_writes", "read_regs", "taint_before", "taint_after")
     return rows.select("index", "address", "mnemonic", "operands", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
 def all_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).all_by_address(PREFIX)
+    return twin(spark, sf_dir, kept=True).all_by_address(PREFIX)
 
 
 def all_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,7 @@ def all_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_by_mnemonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).all_by_mnemonic("m*")
+    return twin(spark, sf_dir, kept=True).all_by_mnemonic("m*")
 
 
 def count_by_mnemonic(spark: SparkSession, sf_dir: str) -> DataFrame:

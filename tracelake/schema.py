@@ -8,6 +8,8 @@ TABLES = {
     "instruction": f"idx long, file_offset long, address string, offset string, offset_val long, mnemonic string, operands string, comment string, raw_line string, register_changes array<{CHANGE}>, memory_ops array<{OPERATION}>, memory_dump array<{DUMP}>, raw_lines array<string>",
     "register_write": "idx long, ordinal int, register string, state_reg string, analysis_reg string, is_w boolean, value long",
     "memory_access": "idx long, slot int, kind string, addr long, addr_hex string, bucket string, size int, address string, data_value string, value_bytes string, source_registers array<string>",
+    "by_offset": "offset_val long, idx long",
+    "by_mnemonic": "mnemonic string, idx long",
     "checkpoint": "idx long, register string, value long",
     "mnemonic": "mnemonic string, n long, first_idx long",
     "def_use": "idx long, reg string, def_idx long",

@@ -70,12 +70,13 @@ def instructions(lines: DataFrame) -> DataFrame:
 
     Operations that lines state count instead of the one that the operands imply."""
     rows = lines.where(F.col("idx") >= 0)
-    head = F.when(F.col("fields").isNotNull(), F.struct("file_offset", "fields", F.col("line").alias("raw_line"), "changes", "inferred"))
+    # One aggregate for each column, so that what a query doesn't read isn't parsed for it.
+    own = lambda c, name=None: F.first(F.when(F.col("fields").isNotNull(), F.col(c)), ignorenulls=True).alias(name or c)
     order = F.struct("split", "at")
     listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("x")))))
-    blocks = rows.groupBy("idx").agg(F.first(head, ignorenulls=True).alias("head"), listed("op").alias("stated"), listed("dump").alias("dumped"), listed("line").alias("raw_lines"))
+    blocks = rows.groupBy("idx").agg(own("file_offset"), own("fields"), own("line", "raw_line"), own("changes"), own("inferred"), listed("op").alias("stated"), listed("dump").alias("dumped"), listed("line").alias("raw_lines"))
     of = lambda c: F.col(f"{c}.x").alias(c)
-    blocks = blocks.select("idx", "head.file_offset", "head.fields.*", "head.raw_line", "head.changes", "head.inferred", of("raw_lines"), of("stated"), of("dumped"))
+    blocks = blocks.select("idx", "file_offset", "fields.*", "raw_line", "changes", "inferred", of("raw_lines"), of("stated"), of("dumped"))
     operations = F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.array_compact(F.array("inferred")))
     return blocks.select(
         "idx", "file_offset", "address", "offset", index_value(F.col("offset")).alias("offset_val"), "mnemonic", "operands", "comment", "raw_line",

@@ -21,14 +21,14 @@ from ..operators import state, tables
 from ..schema import TABLES
 from .logs import read_trace
 
-VERSION = 1
+VERSION = 2
 #: Checkpoint spacing by the size of the log: up to so many bytes, positions between two checkpoints.
 SPACING = ((512 << 20, 500), (2 << 30, 2000), (8 << 30, 5000), (16 << 30, 10000))
 WIDEST_SPACING = 20000
 #: What each table is sorted by, so that files and row groups have narrow ranges of it.
 ORDER = {
     "instruction": ["idx"], "register_write": ["analysis_reg", "idx", "ordinal"], "memory_access": ["addr_hex", "idx", "slot"],
-    "checkpoint": ["idx", "register"], "mnemonic": ["first_idx"], "def_use": ["idx", "reg"],
+    "by_offset": ["offset_val", "idx"], "by_mnemonic": ["mnemonic", "idx"], "checkpoint": ["idx", "register"], "mnemonic": ["first_idx"], "def_use": ["idx", "reg"],
 }
 
 
@@ -131,6 +131,8 @@ def build(spark: SparkSession, log: str, store: str, spacing: int | None = None)
     writes = _save(tables.register_writes(instruction), f"{folder}/register_write", ORDER["register_write"])
     count = (instruction.agg(F.max("idx")).first()[0] or 0) + 1 if instruction.head(1) else 0
     _save(tables.memory_accesses(instruction), f"{folder}/memory_access", ORDER["memory_access"])
+    _save(tables.by_offset(instruction), f"{folder}/by_offset", ORDER["by_offset"])
+    _save(tables.by_mnemonic(instruction), f"{folder}/by_mnemonic", ORDER["by_mnemonic"])
     _save(tables.mnemonic_counts(instruction), f"{folder}/mnemonic", ORDER["mnemonic"])
     _save(tables.def_use(instruction, writes), f"{folder}/def_use", ORDER["def_use"])
     _save(state.checkpoints(writes, count, spacing), f"{folder}/checkpoint", ORDER["checkpoint"])
