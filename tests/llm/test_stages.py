@@ -111,6 +111,7 @@ def edited(text, after):
 def test_ranges_cut_equal_and_missing_ids(spark, monkeypatch, size):
     r = random.Random(2)
     rows = [(i, f"text {i} " + "x" * r.randrange(300)) for i in range(40)] + [(7, f"seven {i} " * r.randrange(1, 9)) for i in range(120)] + [(None, f"none {i} " * r.randrange(1, 9)) for i in range(120)] + [(9, "same")] * 20
+    rows += [(2**62 + i, f"large {i} " * r.randrange(1, 9)) for i in range(60)] + [(-(2**62) - i, f"low {i}") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     key = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
     rows.sort(key=lambda x: (x[0] is None, x[0] or 0, key[x[1]]))

@@ -193,16 +193,14 @@ def _range_starts(docs: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.nda
     range, so that long texts don't make one large."""
     total = docs.agg(F.sum("size")).first()[0] or 0
     range_bytes = _size_of_ranges(total, range_bytes)
-    order = [F.col("doc_id").asc_nulls_last(), "key"]
-    pieces = docs.select("doc_id", "key", "size").repartitionByRange(PIECES * (int(total // range_bytes) + 1), *order)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    found = pieces.groupBy(F.spark_partition_id().alias("at")).agg(first, F.sum("size").alias("size")).select("size", "first.*").orderBy("none", "doc_id", "key").toPandas()
+    pieces = docs.select("none", "id", "key", "size").repartitionByRange(PIECES * (int(total // range_bytes) + 1), "none", "id", "key")
+    found = pieces.groupBy(F.spark_partition_id().alias("at")).agg(F.min(F.struct("none", "id", "key")).alias("first"), F.sum("size").alias("size")).select("size", "first.*").toPandas()
+    found = found.sort_values(["none", "id", "key"])
     # A piece begins a range where the bytes before it have passed another multiple of a range's.
     before = np.cumsum(found["size"].to_numpy(np.int64)) - found["size"].to_numpy(np.int64)
     found = found[np.diff(before // range_bytes, prepend=-1) > 0]
     none = found["none"].to_numpy(bool)
-    ids = np.array([(i, k) for i, k in zip(found["doc_id"][~none], found["key"][~none], strict=True)], np.int64).reshape(-1, 2)
-    return ids, found["key"].to_numpy(np.int64)[none]
+    return found[["id", "key"]].to_numpy(np.int64)[~none], found["key"].to_numpy(np.int64)[none]
 
 
 def _place(ids: np.ndarray, none: np.ndarray, keys: np.ndarray, starts: np.ndarray, starts_without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,19 +223,19 @@ def successive(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(range, last, doc_id, text) in partitions that each hold one whole range in order of doc_id, then of the text's
     hash; a range ends with rows of ``last``, the first of which is the first document of the next range."""
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text")})
+    # A missing id is 0 beside its mark, so that pandas doesn't turn ids into floating numbers.
+    docs = docs.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long")), "key": F.xxhash64("text"), "size": F.octet_length("text")})
     starts, starts_without = _range_starts(docs, range_bytes)
     n = max(1, len(starts) + len(starts_without))
     sent = docs.sparkSession.sparkContext.broadcast((starts, starts_without))
 
     @F.pandas_udf("long")
-    def placed(ids: pd.Series, keys: pd.Series) -> pd.Series:
+    def placed(none: pd.Series, ids: pd.Series, keys: pd.Series) -> pd.Series:
         """Twice the range, and one more for its first row."""
-        none = ids.isna().to_numpy()
-        at, first = _place(ids.fillna(0).to_numpy(np.int64), none, keys.to_numpy(np.int64), *sent.value)
+        at, first = _place(ids.to_numpy(np.int64), none.to_numpy(bool), keys.to_numpy(np.int64), *sent.value)
         return pd.Series(2 * at + first)
 
-    rows = docs.withColumn("at", placed("doc_id", "key"))
+    rows = docs.withColumn("at", placed("none", "id", "key"))
     own = F.floor(F.col("at") / 2).cast("int")
     to = F.when(F.col("at") % 2 == 1, F.array(own, F.pmod(own - 1, F.lit(n)))).otherwise(F.array(own))
     rows = rows.select("doc_id", "key", "text", F.posexplode(to).alias("last", "range"))
