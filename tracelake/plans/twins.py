@@ -104,7 +104,7 @@ def state_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_history(twin(spark, sf_dir).register_write).select("idx", "state_reg", "state")
+    return state.state_history(written(twin(spark, sf_dir).register_write, "register_write")).select("idx", "state_reg", "state")
 
 
 def parsed_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def definition_of_every_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_overlapping_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.previous_overlapping_writes(twin(spark, sf_dir).memory_access).select("idx", "addr", "size", "write_idx")
+    return lineage.previous_overlapping_writes(written(twin(spark, sf_dir).memory_access, "memory_access")).select("idx", "addr", "size", "write_idx")
 
 
 def backward_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def all_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).all_by_offset(OFFSET)
+    return twin(spark, sf_dir, kept=True).all_by_offset(OFFSET)
 
 
 def all_by_mnemonic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ def count_by_mnemonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_by_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin(spark, sf_dir).all_by_data(DATUM)
+    return twin(spark, sf_dir, kept=True).all_by_data(DATUM)
 
 
 def next_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
