@@ -60,6 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in ``shared_dir``."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes what ``materialise`` has written in this application, once no result that rests on it is needed."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
@@ -70,7 +75,7 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage ends there, and an
     executor that is lost takes nothing with it. ``by``: a column whose values get a folder each."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprints, fixity, lm, mixing, near_dedup, packing, quality, token_counts
-from .common import materialise, read_table
+from . import ann, chat, fingerprints, fixity, lm, mixing, near_dedup, packing, quality, token_counts, token_files
+from .common import materialise, read_table, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +64,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files, then reads them."""
+    folder = shared_folder(spark, "tokens")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_files(spark, folder)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup, op11_token_files)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
