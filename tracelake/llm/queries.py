@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprints, fixity, lm, mixing, near_dedup, packing, quality, token_counts, token_files, whitening
+from . import alignment, ann, chat, fingerprints, fixity, lm, mixing, near_dedup, packing, quality, token_counts, token_files, whitening
 from .common import materialise, read_table, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,12 +71,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup, op11_token_files, op13_whitening)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_inverted_multi_index, op3_mix_sources, op4_merkle_fixity, op5_token_counts, op6_preference_format, op7_paragraph_fingerprints, op8_quality_gam, op9_best_fit_packing, op10_minhash_near_dedup, op11_token_files, op12_alignment, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": r"""
