@@ -8,7 +8,7 @@ Addresses are unsigned and wrap at 2^64, and accesses may be of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -38,7 +38,7 @@ def register_source(writes: DataFrame, register: str, idx: int) -> DataFrame:
 
 def _granules(rows: DataFrame) -> DataFrame:
     """``rows`` (addr, size, ...) once for each granule of memory that they touch, with ``granule`` (the address of its
-    first byte over GRANULE) and ``begin`` and ``end``, the bytes of it."""
+    first byte over GRANULE), ``begin`` and ``end``, the bytes of it, and ``at``, which byte of the access is the first there."""
     inside = F.col("addr").bitwiseAND(F.lit(GRANULE - 1))
     count = F.shiftright(inside + F.col("size").cast("long") + (GRANULE - 1), 3)
     rows = rows.withColumns({"_inside": inside, "_count": count})
@@ -48,11 +48,16 @@ def _granules(rows: DataFrame) -> DataFrame:
     granule = (F.shiftrightunsigned("addr", 3) + F.col("_k")).bitwiseAND(F.lit((1 << 61) - 1))
     begin = F.when(F.col("_k") == 0, F.col("_inside")).otherwise(0)
     end = F.least(F.lit(GRANULE).cast("long"), F.col("_inside") + F.col("size") - GRANULE * F.col("_k"))
-    return rows.withColumns({"granule": granule, "begin": begin, "end": end}).drop("_inside", "_count", "_part", "_k")
+    at = F.greatest(GRANULE * F.col("_k") - F.col("_inside"), F.lit(0))
+    return rows.withColumns({"granule": granule, "begin": begin, "end": end, "at": at}).drop("_inside", "_count", "_part", "_k")
 
 
-def previous_overlapping_writes(accesses: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(idx, slot, addr, size, write_idx, write_slot): for each read the last write before it that shares a byte.
+def _covers(byte: int) -> Column:
+    return (F.col("begin") <= byte) & (F.col("end") > byte)
+
+
+def _last_writes(accesses: DataFrame, chunk: int) -> DataFrame:
+    """Each read once for each granule, with ``byte0`` and so on: the last write (write_idx, write_slot) of each byte.
 
     Memory is followed in granules, each with the last write of every byte, so the work grows with the bytes moved
     and not with pairs of reads and writes, and a granule that is used all the time is split by position."""
@@ -60,10 +65,30 @@ def previous_overlapping_writes(accesses: DataFrame, chunk: int = CHUNK) -> Data
     # Reads see earlier instructions' writes only: at one position they come first.
     single = _granules(rows).withColumn("is_write", (F.col("kind") == "W").cast("int"))
     mark = F.struct(F.col("idx").alias("write_idx"), F.col("slot").alias("write_slot"))
-    covers = lambda byte: (F.col("begin") <= byte) & (F.col("end") > byte)
-    bytes_ = {f"byte{i}": F.when((F.col("is_write") == 1) & covers(i), mark) for i in range(GRANULE)}
-    found = carried_last(single, ["granule"], "idx", ["idx", "is_write", "slot"], bytes_, chunk=chunk).where("is_write = 0")
-    seen = F.greatest(*[F.when(covers(i), F.col(f"byte{i}")) for i in range(GRANULE)])
+    bytes_ = {f"byte{i}": F.when((F.col("is_write") == 1) & _covers(i), mark) for i in range(GRANULE)}
+    return carried_last(single, ["granule"], "idx", ["idx", "is_write", "slot"], bytes_, chunk=chunk).where("is_write = 0")
+
+
+def memory_def_use(accesses: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The table ``memory_def_use``: for each read and granule the last write of each of its bytes, from byte ``at`` of
+    the read on; null where nothing was written before."""
+    every = F.array(*[f"byte{i}" for i in range(GRANULE)])
+    found = _last_writes(accesses, chunk).withColumn("last_writes", F.slice(every, (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")))
+    return found.select("idx", "slot", "at", "last_writes")
+
+
+def last_write_of(def_use: DataFrame, idx: int, slot: int, skip: int, size: int) -> DataFrame:
+    """One row (write_idx, write_slot): the newest last write of any of ``size`` bytes of a read from byte ``skip`` on; none
+    if nothing wrote them. A point read of the table ``memory_def_use``."""
+    rows = def_use.where((F.col("idx") == idx) & (F.col("slot") == slot)).select("at", F.posexplode("last_writes").alias("k", "w"))
+    rows = rows.where((F.col("at") + F.col("k")).between(skip, skip + size - 1) & F.col("w").isNotNull())
+    return rows.agg(F.max("w").alias("w")).where("w is not null").select("w.write_idx", "w.write_slot")
+
+
+def previous_overlapping_writes(accesses: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(idx, slot, addr, size, write_idx, write_slot): for each read the last write before it that shares a byte."""
+    found = _last_writes(accesses, chunk)
+    seen = F.greatest(*[F.when(_covers(i), F.col(f"byte{i}")) for i in range(GRANULE)])
     found = found.withColumn("seen", seen).groupBy("idx", "slot", "addr", "size").agg(F.max("seen").alias("seen"))
     return found.select("idx", "slot", "addr", "size", "seen.write_idx", "seen.write_slot")
 
@@ -125,7 +150,7 @@ def load_context(instruction: DataFrame, register: str, from_idx: int, lookback:
     rows = instruction.where(F.col("idx").between(max(0, from_idx - max(0, lookback)), from_idx))
     if names:
         rows = rows.where((F.col("idx") == from_idx) | F.exists("register_changes", lambda c: F.array_contains(listed, F.upper(c["register"]))))
-    rows = rows.select("idx", "address", "mnemonic", "operands", F.explode("memory_ops").alias("o")).where("o.type = 'read'")
+    rows = rows.select("idx", "address", "mnemonic", "operands", F.explode("memory_ops").alias("o")).where("o.type = 'read'").withColumn("slot", F.col("o.slot"))
     rows = rows.withColumn("addr", parse.auto_value(F.col("o.address"))).where("addr is not null").orderBy(F.desc("idx"), "o.slot").limit(1)
     rows = rows.withColumns({"size": F.greatest("o.data_size", F.lit(1)), "value": F.col("o.data_value"), "targets": parse.target_registers(F.col("operands"))})
     rows = rows.withColumns({"pairs": parse.assignments(F.col("value")), "raw": raw_bytes(F.col("value"))})
@@ -145,15 +170,41 @@ def load_context(instruction: DataFrame, register: str, from_idx: int, lookback:
     hit = F.when(own.isNull() & F.col("raw").isNull() & F.col("other").isNotNull(), F.col("other.r")).otherwise(F.col("chosen"))
     rows = rows.withColumns({"bytes": taken, "skip": skip, "hit": F.coalesce(hit, F.lit((register or "").upper()))})
     length = F.coalesce(F.nullif(F.length("bytes"), F.lit(0)) / 2, F.greatest(F.lit(1), F.col("size") - F.col("skip"))).cast("int")
-    return rows.select("idx", "address", "mnemonic", "operands", wrap_add(F.col("addr"), F.col("skip").cast("long")).alias("addr"), length.alias("size"), "bytes", F.col("hit").alias("register"))
+    return rows.select("idx", "address", "mnemonic", "operands", wrap_add(F.col("addr"), F.col("skip").cast("long")).alias("addr"), length.alias("size"), "bytes", F.col("hit").alias("register"), "slot", F.col("skip").cast("long").alias("skip"))
 
 
-def previous_matching_write(accesses: DataFrame, start_idx: int, addr: int, size: int, value: str | None, max_scan: int = 20000) -> DataFrame:
+def _signed(n: int) -> int:
+    n %= 1 << 64
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def stores_near(accesses: DataFrame, buckets: DataFrame, addr: int, size: int) -> DataFrame:
+    """The stores that may overlap ``size`` bytes from ``addr`` on: those of buckets whose stores reach there, by their
+    directory, that begin no farther before it than the widest of these is wide. Both are pushed into the scan."""
+    first = wrap_subtract(F.lit(_signed(addr)).cast("long"), F.col("widest").cast("long") - 1)
+    last = F.lit(_signed(addr + size - 1)).cast("long")
+    # Between two addresses, in signed numbers, which begin anew at 2^63.
+    reach = F.when(first <= last, (F.col("highest") >= first) & (F.col("lowest") <= last)).otherwise((F.col("highest") >= first) | (F.col("lowest") <= last))
+    found = buckets.where((F.col("n_writes") > 0) & reach).select("bucket", "widest").orderBy(F.desc("widest"), "bucket").limit(_BUCKETS + 1).collect()
+    if not found:
+        return accesses.limit(0)
+    low, high = _signed(addr - found[0]["widest"] + 1), _signed(addr + size - 1)
+    near = F.col("addr").between(low, high) if low <= high else (F.col("addr") >= low) | (F.col("addr") <= high)
+    rows = accesses.where((F.col("kind") == "W") & near)
+    return rows.where(F.col("bucket").isin([r["bucket"] for r in found])) if len(found) <= _BUCKETS else rows
+
+
+#: Buckets that a scan is told by name at most.
+_BUCKETS = 8
+
+
+def previous_matching_write(accesses: DataFrame, start_idx: int, addr: int, size: int, value: str | None, max_scan: int = 20000, buckets: DataFrame | None = None) -> DataFrame:
     """At most one row: the store at or before ``start_idx`` that gave a range of memory its bytes.
 
     Of all stores that overlap it, the newest whose overlapping bytes are equal (or, if the bytes of the
     range are unknown, the newest). Failing that, the newest of the last ``max_scan`` instructions whose
-    bytes are unknown."""
+    bytes are unknown. ``buckets``: the directory, if there is one, by which few stores are read."""
+    accesses = accesses if buckets is None else stores_near(accesses, buckets, addr, size)
     rows = accesses.where((F.col("kind") == "W") & (F.col("idx") <= start_idx)).withColumn("size", F.greatest("size", F.lit(1)))
     # How far each begins behind the other, modulo 2^64; they overlap if one begins inside the other.
     rows = rows.withColumns({"_behind": wrap_subtract(F.col("addr"), F.lit(addr).cast("long")), "_ahead": wrap_subtract(F.lit(addr).cast("long"), F.col("addr"))})
@@ -175,7 +226,21 @@ def previous_matching_write(accesses: DataFrame, start_idx: int, addr: int, size
     return rows.orderBy("stage", F.desc("idx"), slot).limit(1).select("idx", "slot", "addr", "size", "value_bytes", "match", "source_registers")
 
 
-def provenance(instruction: DataFrame, writes: DataFrame, accesses: DataFrame, def_use: DataFrame, register: str, from_idx: int, max_scan: int = 20000, max_calc_steps: int = 120) -> tuple[DataFrame, str]:
+def writer_of(accesses: DataFrame, load: Row, max_scan: int, memory_uses: DataFrame | None = None, buckets: DataFrame | None = None) -> Row | None:
+    """The store that gave a load (of ``load_context``) its bytes, as ``previous_matching_write``.
+
+    The last write of the load's bytes is that store if its bytes are the load's; the table ``memory_def_use`` says which
+    it is. Only if they aren't (memory was changed unseen), earlier stores are searched."""
+    if memory_uses is not None and (last := last_write_of(memory_uses, load["idx"], load["slot"], load["skip"], load["size"]).first()):
+        near = accesses if buckets is None else stores_near(accesses, buckets, load["addr"], load["size"])
+        one = near.where((F.col("idx") == last["write_idx"]) & (F.col("slot") == last["write_slot"]))
+        found = previous_matching_write(one, load["idx"] - 1, load["addr"], load["size"], load["bytes"], max_scan).first()
+        if found and found["match"] != LABELS["scan_address"]:
+            return found
+    return previous_matching_write(accesses, load["idx"] - 1, load["addr"], load["size"], load["bytes"], max_scan, buckets).first()
+
+
+def provenance(instruction: DataFrame, writes: DataFrame, accesses: DataFrame, def_use: DataFrame, register: str, from_idx: int, max_scan: int = 20000, max_calc_steps: int = 120, memory_uses: DataFrame | None = None, buckets: DataFrame | None = None) -> tuple[DataFrame, str]:
     """Events (place, kind, index, instruction_address, instruction_text, memory_address, memory_size, value_hex, detail)
     from a load over the store that wrote its bytes to what the stored register follows from; and a message."""
     schema = "place int, kind string, index long, instruction_address string, instruction_text string, memory_address string, memory_size int, value_hex string, detail string"
@@ -187,7 +252,7 @@ def provenance(instruction: DataFrame, writes: DataFrame, accesses: DataFrame, d
     text = lambda row: f"{row['mnemonic']} {row['operands']}".strip()
     shown = lambda addr: f"0x{addr % (1 << 64):x}"
     events = [(0, "load", load["idx"], load["address"], text(load), shown(load["addr"]), load["size"], spaced(load["bytes"]), f"read into {load['register']}")]
-    store = previous_matching_write(accesses, load["idx"] - 1, load["addr"], load["size"], load["bytes"], max_scan).first()
+    store = writer_of(accesses, load, max_scan, memory_uses, buckets)
     if not store:
         return spark.createDataFrame(events, schema), MESSAGES["no_write"]
     by = instruction.where(F.col("idx") == store["idx"]).select("address", "mnemonic", "operands").first()

@@ -1,6 +1,7 @@
 """Searches over a trace: the next match after a position, and all matches of an address, offset, mnemonic or datum.
 
-Searches filter the narrow tables first; only the instructions found are then looked up."""
+Searches look into the narrow tables first, where there are any: what those give bounds the positions at which the wide
+table ``instruction`` is read, and the search's own condition is then tested on what was read."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions.patterns import SCOPES
 from ..functions.render import address_order, digits, instruction_text, memory_summary, shown_address, value_with_detail
+from . import grams, pages
+from .lookup import ranges_of, rows_at, within
 
 
 def _number(digit_text: str) -> int:
@@ -26,9 +29,14 @@ def next_of(matches: DataFrame, start: int) -> DataFrame:
     return matches.agg(F.min_by("idx", order).alias("idx")).where("idx is not null")
 
 
-def next_by_address(instruction: DataFrame, term: str, start: int) -> DataFrame:
-    """The next instruction at an address (0x and eight digits or more) that its line writes in lower case."""
+def next_by_address(instruction: DataFrame, term: str, start: int, by_address: DataFrame | None = None) -> DataFrame:
+    """The next instruction at an address (0x and eight digits or more) that its line writes in lower case.
+
+    ``by_address``: the narrow table, which is sorted by address and has Bloom filters of it, so that a file is read
+    only where it may hold the address."""
     text = terms.exact_address(term)
+    if by_address is not None:
+        return next_of(by_address.where(F.lit(bool(text)) & (F.col("address") == text)).select("idx"), start)
     rows = instruction.where(F.lit(bool(text)) & (F.lower("address") == text) & F.col("raw_line").contains(text))
     return next_of(rows.select("idx"), start)
 
@@ -79,14 +87,14 @@ def next_by_text(instruction: DataFrame, term: str, start: int) -> DataFrame:
     return next_of(instruction.where(hit).select("idx"), start)
 
 
-def find_next(instruction: DataFrame, accesses: DataFrame, term: str, start: int, by_offset: DataFrame | None = None) -> DataFrame:
+def find_next(instruction: DataFrame, accesses: DataFrame, term: str, start: int, by_offset: DataFrame | None = None, by_address: DataFrame | None = None) -> DataFrame:
     """One row (idx, how) for a free term: by exact address, then module offset, then memory address, then text.
 
-    An address-like term with 0x is not sought as text. ``by_offset``: the narrow table, if there is one."""
+    An address-like term with 0x is not sought as text. ``by_offset``, ``by_address``: the narrow tables, if there are any."""
     term, start = (term or "").strip(), max(0, start)
     ways: list[tuple[str, DataFrame]] = []
     if terms.exact_address(term):
-        ways.append(("address", next_by_address(instruction, term, start)))
+        ways.append(("address", next_by_address(instruction, term, start, by_address)))
     if term.lower().startswith("0x"):
         ways.append(("offset", next_by_offset(instruction if by_offset is None else by_offset, term, start)))
     if terms.is_address(term):
@@ -116,23 +124,48 @@ def all_by_address(instruction: DataFrame, accesses: DataFrame, term: str, kinds
     return out.orderBy(address_order(F.col("memory_address")), address_order(F.col("instruction_address")), "line", "access")
 
 
-def candidates_by_address(accesses: DataFrame, term: str) -> DataFrame:
-    """One row (n): how many accesses lie in the buckets that a prefix touches."""
-    return accesses.where(F.col("bucket").startswith(terms.address_digits(term)[:6])).agg(F.count("*").alias("n"))
+def candidates_by_address(buckets: DataFrame, term: str) -> DataFrame:
+    """One row (n, first_idx, last_idx): how many accesses lie in the buckets that a prefix touches, and where, by their directory."""
+    touched = buckets.where(F.col("bucket").startswith(terms.address_digits(term)[:6]))
+    return touched.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"))
 
 
-def all_by_offset(instruction: DataFrame, term: str) -> DataFrame:
-    """Every instruction at a module offset, in trace order."""
+def all_by_offset(instruction: DataFrame, term: str, by_offset: DataFrame | None = None) -> DataFrame:
+    """Every instruction at a module offset, in trace order. ``by_offset``: the narrow table, if there is one."""
+    if by_offset is not None:
+        instruction = rows_at(instruction, at_offset(by_offset, term).select("idx"))
     return _described(at_offset(instruction, term)).orderBy("index")
 
 
-def count_by_offset(instruction: DataFrame, term: str) -> DataFrame:
-    return at_offset(instruction, term).agg(F.count("*").alias("n"))
+def count_by_offset(by_offset: DataFrame, term: str, ranks: DataFrame | None = None) -> DataFrame:
+    """(n), from the directory ``offset_rank`` if there is one."""
+    return at_offset(by_offset, term).agg(F.count("*").alias("n")) if ranks is None else at_offset(ranks, term).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def nth_by_offset(by_offset: DataFrame, term: str, n: int, ranks: DataFrame | None = None) -> DataFrame:
+    """(idx) of the n-th instruction (from 0) at an offset. ``ranks``: the directory ``offset_rank``, else it is computed."""
+    return _postings_by_offset(by_offset, ranks, term, n, 1).select("idx")
+
+
+def page_by_offset(instruction: DataFrame, by_offset: DataFrame, term: str, top: int, count: int, ranks: DataFrame | None = None) -> DataFrame:
+    """Rows ``top`` (from 0) to ``top + count`` of ``all_by_offset``, without those before them."""
+    return _page(instruction, _postings_by_offset(by_offset, ranks, term, top, count))
+
+
+def _postings_by_offset(by_offset: DataFrame, ranks: DataFrame | None, term: str, top: int, count: int) -> DataFrame:
+    text, by_offset = terms.hex_term(term), at_offset(by_offset, term)
+    ranks = pages.ranks(by_offset, "offset_val") if ranks is None else at_offset(ranks, term)
+    keys = by_offset.sparkSession.createDataFrame([(_number(text), 0)] if text else [], "offset_val long, place long")
+    return pages.postings_between(by_offset, ranks, keys, top, count)
 
 
-def nth_by_offset(instruction: DataFrame, term: str, n: int) -> DataFrame:
-    """(idx) of the n-th instruction (from 0) at an offset."""
-    return at_offset(instruction, term).select("idx").orderBy("idx").offset(n).limit(1)
+def _page(instruction: DataFrame, postings: DataFrame) -> DataFrame:
+    """The instructions at (idx, number), which are as many as a page has, in the order of number."""
+    found = [tuple(r) for r in postings.collect()]
+    spark = instruction.sparkSession
+    rows = instruction.where(within(F.col("idx"), ranges_of(spark.createDataFrame([(i,) for i, _ in found], "idx long"))))
+    place = spark.createDataFrame(found, "idx long, place long")
+    return _described(rows.join(F.broadcast(place), "idx")).orderBy("place").drop("place")
 
 
 def matching_mnemonics(mnemonics: DataFrame, term: str) -> DataFrame:
@@ -145,18 +178,33 @@ def count_by_mnemonic(mnemonics: DataFrame, term: str) -> DataFrame:
     return matching_mnemonics(mnemonics, term).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def all_by_mnemonic(instruction: DataFrame, mnemonics: DataFrame, term: str) -> DataFrame:
-    """Every instruction whose mnemonic has a prefix, by first appearance of the mnemonic, then trace order."""
+def all_by_mnemonic(instruction: DataFrame, mnemonics: DataFrame, term: str, ranks: DataFrame | None = None) -> DataFrame:
+    """Every instruction whose mnemonic has a prefix, by first appearance of the mnemonic, then trace order.
+
+    ``ranks``: the directory ``mnemonic_rank``, by which only those chunks of positions are read that hold some."""
     wanted = matching_mnemonics(mnemonics, term).select("mnemonic", F.col("first_idx").alias("place"))
+    if ranks is not None:
+        instruction = rows_at(instruction, ranks.join(F.broadcast(wanted), "mnemonic").select("chunk"), pages.RANK_CHUNK)
     prefix = terms.mnemonic_prefix(term)
     rows = instruction.where(F.lower("mnemonic").startswith(prefix)).join(wanted, "mnemonic")
     return _described(rows).orderBy("place", "index").drop("place")
 
 
-def nth_by_mnemonic(instruction: DataFrame, mnemonics: DataFrame, term: str, n: int) -> DataFrame:
-    """(idx) of the n-th match (from 0) in that order."""
-    wanted = matching_mnemonics(mnemonics, term).select("mnemonic", F.col("first_idx").alias("place"))
-    return instruction.select("mnemonic", "idx").join(wanted, "mnemonic").orderBy("place", "idx").select("idx").offset(n).limit(1)
+def nth_by_mnemonic(by_mnemonic: DataFrame, mnemonics: DataFrame, term: str, n: int, ranks: DataFrame | None = None) -> DataFrame:
+    """(idx) of the n-th match (from 0) in that order. ``ranks``: the directory ``mnemonic_rank``, else it is computed."""
+    return _postings_by_mnemonic(by_mnemonic, ranks, mnemonics, term, n, 1).select("idx")
+
+
+def page_by_mnemonic(instruction: DataFrame, by_mnemonic: DataFrame, mnemonics: DataFrame, term: str, top: int, count: int, ranks: DataFrame | None = None) -> DataFrame:
+    """Rows ``top`` (from 0) to ``top + count`` of ``all_by_mnemonic``, without those before them."""
+    return _page(instruction, _postings_by_mnemonic(by_mnemonic, ranks, mnemonics, term, top, count))
+
+
+def _postings_by_mnemonic(by_mnemonic: DataFrame, ranks: DataFrame | None, mnemonics: DataFrame, term: str, top: int, count: int) -> DataFrame:
+    keys = matching_mnemonics(mnemonics, term).select("mnemonic", F.col("first_idx").alias("place"))
+    by_mnemonic = by_mnemonic.where(F.lower("mnemonic").startswith(terms.mnemonic_prefix(term)))
+    ranks = pages.ranks(by_mnemonic, "mnemonic") if ranks is None else ranks
+    return pages.postings_between(by_mnemonic, ranks, keys, top, count)
 
 
 def match_scope(term: str) -> Column:
@@ -183,9 +231,15 @@ def _contains(token: str, line: Column) -> Column:
     return line.contains(token)
 
 
-def all_by_data(instruction: DataFrame, term: str) -> DataFrame:
-    """Every instruction in whose lines a datum's tokens occur (in lower case), with ``match_scope``, in trace order."""
+def all_by_data(instruction: DataFrame, term: str, by_gram: DataFrame | None = None, gram: DataFrame | None = None) -> DataFrame:
+    """Every instruction in whose lines a datum's tokens occur (in lower case), with ``match_scope``, in trace order.
+
+    ``by_gram``, ``gram``: the index over the text of lines, by which only blocks that may hold a token are read. All lines
+    are read without it, or where a token is too short for it."""
     tokens = terms.data_tokens(term)
+    blocks = grams.candidate_blocks(by_gram, gram, tokens) if by_gram is not None and gram is not None else None
+    if blocks is not None:
+        instruction = rows_at(instruction, blocks, grams.BLOCK)
     hit = F.lit(False)
     for token in tokens:
         hit = hit | F.exists("raw_lines", partial(_contains, token))
@@ -197,7 +251,7 @@ def limited(matches: DataFrame, n: int | None) -> tuple[DataFrame, bool]:
     """The first ``n`` matches (all, if None) and whether more were left out."""
     if n is None:
         return matches, False
-    return matches.limit(n), bool(matches.offset(n).limit(1).count())
+    return matches.limit(n), len(matches.limit(n + 1).select(F.lit(1)).collect()) > n
 
 
 def sorted_by(matches: DataFrame, column: str, descending: bool = False) -> DataFrame:

@@ -31,6 +31,11 @@ def write_counts(writes: DataFrame) -> DataFrame:
     return write_postings(writes).groupBy("analysis_reg").agg(F.count("*").alias("n"))
 
 
+def register_directory(writes: DataFrame) -> DataFrame:
+    """The table ``register``: how many instructions write each register, the first and the last of them."""
+    return write_postings(writes).groupBy("analysis_reg").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
 def unit_size(mnemonic: Column, register: Column) -> Column:
     """Bytes of one register's share of an access."""
     m = F.lower(mnemonic)
@@ -99,6 +104,22 @@ def memory_accesses(instruction: DataFrame, slots: int | None = None) -> DataFra
     return rows.select("idx", "slot", "kind", "addr", "addr_hex", address_bucket(F.col("addr_hex")).alias("bucket"), "size", "address", "data_value", "value_bytes", "source_registers")
 
 
+def bucket_directory(accesses: DataFrame) -> DataFrame:
+    """The table ``bucket``: for each, its accesses and stores, where the stores begin (``lowest`` to ``highest``, as
+    signed numbers) and how wide the widest of them is, and the first and last position."""
+    store = F.col("kind") == "W"
+    return accesses.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.count_if(store).alias("n_writes"), F.min(F.when(store, F.col("addr"))).alias("lowest"), F.max(F.when(store, F.col("addr"))).alias("highest"),
+        F.max(F.when(store, F.greatest("size", F.lit(1)))).alias("widest"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
+    )
+
+
+def by_address(instruction: DataFrame) -> DataFrame:
+    """The table ``by_address``: positions by an instruction's address in lower case, where its line writes it so."""
+    address = F.lower("address")
+    return instruction.where(F.col("raw_line").contains(address)).select(address.alias("address"), "idx")
+
+
 def by_offset(instruction: DataFrame) -> DataFrame:
     """The table ``by_offset``: positions by module offset, where that is a number."""
     return instruction.where("offset_val is not null").select("offset_val", "idx")
@@ -109,9 +130,9 @@ def by_mnemonic(instruction: DataFrame) -> DataFrame:
     return instruction.select("mnemonic", "idx")
 
 
-def mnemonic_counts(instruction: DataFrame) -> DataFrame:
+def mnemonic_counts(by_mnemonic: DataFrame) -> DataFrame:
     """The table ``mnemonic``: each one's count and first position."""
-    return instruction.groupBy("mnemonic").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+    return by_mnemonic.groupBy("mnemonic").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
 
 
 def write_sets(writes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage, search, tables
 from ..sources.logs import read_trace
-from ..sources.store import scratch_folder, written
+from ..sources.files import saved, scratch_folder
 from .trace import Trace
 from .twins import columns_of
 
@@ -85,7 +85,7 @@ def write_log(spark: SparkSession, sf_dir: str) -> str:
 def log_trace(spark: SparkSession, sf_dir: str) -> Trace:
     """The trace of the written log."""
     instruction, _ = read_trace(spark, write_log(spark, sf_dir), scratch_folder(spark, "lines"))
-    return Trace.of(written(instruction, "instruction"))
+    return Trace.of(saved(instruction, "instruction"))
 
 
 def log_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:

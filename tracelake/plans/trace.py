@@ -2,47 +2,52 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.render import memory_panel
-from ..operators import lineage, search, state, tables
+from ..operators import lineage, pages, search, state
+from ..operators.derived import DERIVED
 from ..sources import logs, store
 
 #: How many instructions a taint slice shows, and how far provenance looks.
 TAINT_STEPS, PROVENANCE_SCAN, PROVENANCE_STEPS = 500, 30000, 160
 
 
-@dataclass
 class Trace:
-    """Tables of a trace; ``checkpoint`` may be missing (``spacing`` 0)."""
-
-    instruction: DataFrame
-    register_write: DataFrame
-    memory_access: DataFrame
-    mnemonic: DataFrame
-    def_use: DataFrame
-    by_offset: DataFrame
-    by_mnemonic: DataFrame
-    checkpoint: DataFrame | None = None
-    spacing: int = 0
-    initial_sp: str | None = None
+    """Tables of a trace by name, as attributes: those of a store, or, without one, those that follow from ``instruction``
+    as they are asked for. Searches look into a store's indexes; without a store they read all instructions once."""
+
+    def __init__(self, instruction: DataFrame, tables: dict[str, DataFrame] | None = None, spacing: int = 0, initial_sp: str | None = None, size: int | None = None):
+        self.instruction, self.spacing, self.initial_sp, self._size = instruction, spacing, initial_sp, size
+        self.stored = tables is not None
+        self._tables = tables if self.stored else {"instruction": instruction}
 
     @classmethod
     def open(cls, spark: SparkSession, log: str, folder: str, spacing: int | None = None) -> Trace:
         """The trace of a log, from the store in ``folder``, which is built if it doesn't fit the log."""
         found, manifest = store.open_store(spark, log, folder, spacing)
-        return cls(**found, spacing=manifest["spacing"], initial_sp=manifest["initial_sp"])
+        return cls(found["instruction"], found, manifest["spacing"], manifest["initial_sp"], manifest["count"])
 
     @classmethod
     def of(cls, instruction: DataFrame) -> Trace:
         """A trace whose other tables follow from ``instruction`` as they are asked for."""
-        writes = tables.register_writes(instruction)
-        accesses, mnemonics, uses = tables.memory_accesses(instruction), tables.mnemonic_counts(instruction), tables.def_use(instruction, writes)
-        return cls(instruction, writes, accesses, mnemonics, uses, tables.by_offset(instruction), tables.by_mnemonic(instruction))
+        return cls(instruction)
+
+    def table(self, name: str) -> DataFrame:
+        """A table by its name in ``schema.TABLES``."""
+        if not self.stored and name not in self._tables:
+            self._tables[name] = DERIVED[name](self.table)
+        return self._tables[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in DERIVED or name == "checkpoint" and self.stored:
+            return self.table(name)
+        raise AttributeError(name)
+
+    def _index(self, *names: str) -> list[DataFrame | None]:
+        return [self.table(n) if self.stored else None for n in names]
 
     @classmethod
     def load(cls, spark: SparkSession, log: str) -> Trace:
@@ -53,7 +58,7 @@ class Trace:
         return trace
 
     def count(self) -> int:
-        return self.instruction.count()
+        return self.instruction.count() if self._size is None else self._size
 
     def at(self, idx: int) -> DataFrame:
         return self.instruction.where(F.col("idx") == idx)
@@ -81,7 +86,7 @@ class Trace:
         return "next", self.find_next(term, selected + 1)
 
     def find_next(self, term: str, start: int = 0) -> DataFrame:
-        return search.find_next(self.instruction, self.memory_access, term, start, self.by_offset)
+        return search.find_next(self.instruction, self.memory_access, term, start, self.by_offset, *self._index("by_address"))
 
     def all_by_address(self, term: str, kinds: tuple[str, ...] = ()) -> DataFrame:
         """Needs four hexadecimal digits or more."""
@@ -93,31 +98,47 @@ class Trace:
         """Needs 0x and fewer than eight digits."""
         if not terms.is_offset((term or "").strip()):
             raise ValueError("an offset search needs 0x and one to seven hexadecimal digits")
-        return search.all_by_offset(self.instruction, term)
+        return search.all_by_offset(self.instruction, term, *self._index("by_offset"))
 
     def count_by_offset(self, term: str) -> DataFrame:
-        return search.count_by_offset(self.by_offset, term)
+        return search.count_by_offset(self.by_offset, term, *self._index("offset_rank"))
 
     def nth_by_offset(self, term: str, n: int) -> DataFrame:
-        return search.nth_by_offset(self.by_offset, term, n)
+        return search.nth_by_offset(self.by_offset, term, n, *self._index("offset_rank"))
+
+    def page_by_offset(self, term: str, top: int, count: int) -> DataFrame:
+        """``count`` rows of ``all_by_offset`` from row ``top`` (from 0) on."""
+        return search.page_by_offset(self.instruction, self.by_offset, term, top, count, *self._index("offset_rank"))
 
     def all_by_mnemonic(self, term: str) -> DataFrame:
         """Needs a letter first; may end in an asterisk."""
         if not terms.is_mnemonic(term):
             raise ValueError("a mnemonic search needs a mnemonic or the beginning of one")
-        return search.all_by_mnemonic(self.instruction, self.mnemonic, term)
+        return search.all_by_mnemonic(self.instruction, self.mnemonic, term, *self._index("mnemonic_rank"))
 
     def nth_by_mnemonic(self, term: str, n: int) -> DataFrame:
-        return search.nth_by_mnemonic(self.by_mnemonic, self.mnemonic, term, n)
+        return search.nth_by_mnemonic(self.by_mnemonic, self.mnemonic, term, n, *self._index("mnemonic_rank"))
+
+    def page_by_mnemonic(self, term: str, top: int, count: int) -> DataFrame:
+        """``count`` rows of ``all_by_mnemonic`` from row ``top`` (from 0) on."""
+        return search.page_by_mnemonic(self.instruction, self.by_mnemonic, self.mnemonic, term, top, count, *self._index("mnemonic_rank"))
+
+    def candidates_by_address(self, term: str) -> DataFrame:
+        """How many accesses an address search has to look at, and where, by the buckets' directory."""
+        return search.candidates_by_address(self.bucket, term)
+
+    def result(self, matches: DataFrame, *order: Column | str) -> pages.SavedResult:
+        """A result in an order (by ``index`` if none is given), written so that any page of it is read by itself."""
+        return pages.SavedResult(matches, *order)
 
     def all_by_data(self, term: str) -> DataFrame:
         """Needs anything but blanks."""
         if not terms.data_term(term):
             raise ValueError("a data search needs a value or text")
-        return search.all_by_data(self.instruction, term)
+        return search.all_by_data(self.instruction, term, *self._index("by_gram", "gram"))
 
     def _checkpointed(self) -> dict:
-        return {"checkpoints": self.checkpoint, "interval": self.spacing} if self.checkpoint is not None else {}
+        return {"checkpoints": self.table("checkpoint"), "interval": self.spacing} if self.stored else {}
 
     def state_at(self, idx: int) -> DataFrame:
         return state.state_at(self.register_write, idx, **self._checkpointed())
@@ -132,4 +153,4 @@ class Trace:
         return lineage.taint_slice(self.instruction, self.register_write, self.def_use, register, idx, max_steps)
 
     def provenance(self, register: str, idx: int, max_scan: int = PROVENANCE_SCAN, max_steps: int = PROVENANCE_STEPS) -> tuple[DataFrame, str]:
-        return lineage.provenance(self.instruction, self.register_write, self.memory_access, self.def_use, register, idx, max_scan, max_steps)
+        return lineage.provenance(self.instruction, self.register_write, self.memory_access, self.def_use, register, idx, max_scan, max_steps, *self._index("memory_def_use", "bucket"))

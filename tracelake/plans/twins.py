@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage, search, state, tables
 from ..sources.logs import classified, instructions
-from ..sources.store import written
+from ..sources.files import saved
 from .trace import Trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,7 @@ def columns_of(step: str) -> list[str]:
 def twin(spark: SparkSession, sf_dir: str, kept: bool = False) -> Trace:
     """The trace; its instructions are written once (``kept``) for what reads them more than once."""
     rows = instructions(classified(lines(spark, sf_dir)))
-    return Trace.of(written(rows, "instruction") if kept else rows)
+    return Trace.of(saved(rows, "instruction") if kept else rows)
 
 
 def _sql(body: str, recursive: bool = False) -> str:
@@ -100,11 +100,11 @@ def register_state_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = twin(spark, sf_dir)
-    return state.checkpoints(written(trace.register_write, "register_write"), trace.count(), SPACING)
+    return state.checkpoints(saved(trace.register_write, "register_write"), trace.count(), SPACING)
 
 
 def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_history(written(twin(spark, sf_dir).register_write, "register_write")).select("idx", "state_reg", "state")
+    return state.state_history(saved(twin(spark, sf_dir).register_write, "register_write")).select("idx", "state_reg", "state")
 
 
 def parsed_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +137,12 @@ def definition_of_every_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_overlapping_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.previous_overlapping_writes(written(twin(spark, sf_dir).memory_access, "memory_access")).select("idx", "addr", "size", "write_idx")
+    return lineage.previous_overlapping_writes(saved(twin(spark, sf_dir).memory_access, "memory_access")).select("idx", "addr", "size", "write_idx")
 
 
 def backward_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = twin(spark, sf_dir, kept=True)
-    rows = lineage.taint_slice(trace.instruction, trace.register_write, written(trace.def_use, "def_use"), REG, trace.count() - 1, STEPS_SHOWN)
+    rows = lineage.taint_slice(trace.instruction, trace.register_write, saved(trace.def_use, "def_use"), REG, trace.count() - 1, STEPS_SHOWN)
     lists = ("hit_writes", "read_regs", "taint_before", "taint_after")
     return rows.select("index", "address", "mnemonic", "operands", *[F.array_join(c, ",").alias(c) for c in lists])
 

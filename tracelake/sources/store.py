@@ -3,25 +3,26 @@
 A store is a folder of generations. Each build writes a new folder and names it in a manifest that is
 written last, so readers see a whole generation or none. A manifest carries the log's fingerprint
 (files, sizes, times of change), the format's version and the checkpoint spacing; if any differs, all is
-built anew. Paths are read and written by Spark and Hadoop alone, so any file system will do."""
+built anew. The instructions are written then; the tables and indexes that follow from them are written when
+they are first asked for, each under another name and renamed when it is whole. Paths are read and written by
+Spark and Hadoop alone, so any file system will do."""
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.render import fixed_width
-from ..operators import state, tables
+from ..operators import state
+from ..operators.derived import DERIVED
 from ..schema import TABLES
+from .files import files_of, move, remove
 from .logs import read_trace
 
-VERSION = 2
+VERSION = 3
 #: Checkpoint spacing by the size of the log: up to so many bytes, positions between two checkpoints.
 SPACING = ((512 << 20, 500), (2 << 30, 2000), (8 << 30, 5000), (16 << 30, 10000))
 WIDEST_SPACING = 20000
@@ -29,10 +30,11 @@ WIDEST_SPACING = 20000
 ORDER = {
     "instruction": ["idx"], "register_write": ["analysis_reg", "idx", "ordinal"], "memory_access": ["addr_hex", "idx", "slot"],
     "by_offset": ["offset_val", "idx"], "by_mnemonic": ["mnemonic", "idx"], "checkpoint": ["idx", "register"], "mnemonic": ["first_idx"], "def_use": ["idx", "reg"],
+    "register": ["analysis_reg"], "bucket": ["bucket"], "memory_def_use": ["idx", "slot", "at"], "by_address": ["address", "idx"], "offset_rank": ["offset_val", "chunk"],
+    "mnemonic_rank": ["mnemonic", "chunk"], "by_gram": ["gram", "block"], "gram": ["gram"],
 }
-
-
-_temporary: dict[str, str] = {}
+#: Columns of tables whose row groups carry Bloom filters as well.
+BLOOM = {"by_address": "address", "by_gram": "gram"}
 
 
 def checkpoint_spacing(size: int) -> int:
@@ -40,22 +42,16 @@ def checkpoint_spacing(size: int) -> int:
     return next((spacing for below, spacing in SPACING if size < below), WIDEST_SPACING)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def fingerprint(spark: SparkSession, path: str) -> dict:
     """Size and a description of the log's files; both change if the log does."""
-    fs, where = _files(spark, path)
+    fs, where = files_of(spark, path)
     found = sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where))
     return {"size": sum(n for _, n, _ in found), "files": [list(f) for f in found]}
 
 
 def read_manifest(spark: SparkSession, store: str) -> dict | None:
     """The manifest, or None if there is no whole one."""
-    fs, where = _files(spark, f"{store}/manifest.json")
+    fs, where = files_of(spark, f"{store}/manifest.json")
     if not fs.exists(where):
         return None
     try:
@@ -67,10 +63,10 @@ def read_manifest(spark: SparkSession, store: str) -> dict | None:
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """By a temporary name, then renamed over what is there, in one step where the file system can do that."""
     jvm = spark.sparkContext._jvm
-    _, where = _files(spark, path)
-    _, aside = _files(spark, f"{path}.{uuid.uuid4().hex}")
+    _, where = files_of(spark, path)
+    _, aside = files_of(spark, f"{path}.{uuid.uuid4().hex}")
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    fs, _ = _files(spark, path)
+    fs, _ = files_of(spark, path)
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -79,77 +75,59 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     files.rename(fs.makeQualified(aside), fs.makeQualified(where), overwrite)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, where = _files(spark, path)
-    fs.delete(where, True)
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder where driver and executors both write: in ``spark.checkpoint.dir``, or, on a local
-    master without that setting, a temporary one."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return f"{shared.rstrip('/')}/trace-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _temporary:
-        _temporary[app] = tempfile.mkdtemp(prefix="trace-")
-        atexit.register(shutil.rmtree, _temporary[app], ignore_errors=True)
-    return _temporary[app]
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name in ``scratch``."""
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
+def save(df: DataFrame, name: str, path: str) -> DataFrame:
+    """A table in its order, and read from there."""
+    writer = df.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name]).write.option("compression", "zstd")
+    (writer.option(f"parquet.bloom.filter.enabled#{BLOOM[name]}", True) if name in BLOOM else writer).parquet(path)
+    return df.sparkSession.read.schema(TABLES[name]).parquet(path)
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes what this application has in ``scratch``, once no result that rests on it is needed."""
-    _remove(spark, scratch(spark))
 
+class Tables(dict):
+    """The tables of a generation by name; one that isn't there yet is built from the others and stays."""
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to a scratch folder and read from there."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    def __init__(self, spark: SparkSession, manifest: dict):
+        self.spark, self.manifest = spark, manifest
 
+    def __missing__(self, name: str) -> DataFrame:
+        path = f"{self.manifest['folder']}/{name}"
+        fs, where = files_of(self.spark, path)
+        if not fs.exists(where):
+            aside = f"{path}.{uuid.uuid4().hex}"
+            save(self._derived(name), name, aside)
+            if not move(self.spark, aside, path):  # another session was first
+                remove(self.spark, aside)
+        self[name] = found = self.spark.read.schema(TABLES[name]).parquet(path)
+        return found
 
-def _save(df: DataFrame, path: str, order: list[str]) -> DataFrame:
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def _derived(self, name: str) -> DataFrame:
+        if name == "checkpoint":
+            return state.checkpoints(self["register_write"], self.manifest["count"], self.manifest["spacing"])
+        return DERIVED[name](self.__getitem__)
 
 
 def build(spark: SparkSession, log: str, store: str, spacing: int | None = None) -> dict:
-    """Reads a log and writes all tables; returns the manifest."""
+    """Reads a log and writes its instructions; returns the manifest."""
     known = fingerprint(spark, log)
     spacing = spacing or checkpoint_spacing(known["size"])
     folder = f"{store}/{uuid.uuid4().hex}"
     instruction, sp = read_trace(spark, log, f"{folder}/lines")
     initial_sp = sp.first()[0]
-    instruction = _save(instruction, f"{folder}/instruction", ORDER["instruction"])
-    writes = _save(tables.register_writes(instruction), f"{folder}/register_write", ORDER["register_write"])
-    count = (instruction.agg(F.max("idx")).first()[0] or 0) + 1 if instruction.head(1) else 0
-    _save(tables.memory_accesses(instruction), f"{folder}/memory_access", ORDER["memory_access"])
-    _save(tables.by_offset(instruction), f"{folder}/by_offset", ORDER["by_offset"])
-    _save(tables.by_mnemonic(instruction), f"{folder}/by_mnemonic", ORDER["by_mnemonic"])
-    _save(tables.mnemonic_counts(instruction), f"{folder}/mnemonic", ORDER["mnemonic"])
-    _save(tables.def_use(instruction, writes), f"{folder}/def_use", ORDER["def_use"])
-    _save(state.checkpoints(writes, count, spacing), f"{folder}/checkpoint", ORDER["checkpoint"])
+    last = save(instruction, "instruction", f"{folder}/instruction").agg(F.max("idx")).first()[0]
+    count = 0 if last is None else last + 1
     manifest = {"version": VERSION, "log": known, "spacing": spacing, "count": count, "initial_sp": initial_sp, "folder": folder}
     _write_text(spark, f"{store}/manifest.json", json.dumps(manifest))
-    _remove(spark, f"{folder}/lines")
+    remove(spark, f"{folder}/lines")
     return manifest
 
 
-def open_store(spark: SparkSession, log: str, store: str, spacing: int | None = None) -> tuple[dict[str, DataFrame], dict]:
+def open_store(spark: SparkSession, log: str, store: str, spacing: int | None = None) -> tuple[Tables, dict]:
     """(tables, manifest) of a log; built only if the store has none that fits."""
     found = read_manifest(spark, store)
     known = fingerprint(spark, log)
     wanted = {"version": VERSION, "log": known, "spacing": spacing or checkpoint_spacing(known["size"])}
     if not found or any(found.get(k) != v for k, v in wanted.items()):
         found = build(spark, log, store, spacing)
-    return {name: spark.read.schema(ddl).parquet(f"{found['folder']}/{name}") for name, ddl in TABLES.items()}, found
+    return Tables(spark, found), found
 
 
 def write_tsv(result: DataFrame, path: str) -> None:
