@@ -8,20 +8,23 @@ Addresses are unsigned and wrap at 2^64, and accesses may be of any size."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.patterns import LABELS
-from ..functions.registers import related, taint_name
+from ..functions.registers import related, taint_name, taint_register
 from ..functions.u64 import hex_text, little_endian, wrap_add, wrap_subtract
+from ..sources.files import saved, scratch_folder
+from .lookup import ranges_of, within
 from .running import CHUNK, carried_last
-from .tables import number_under, raw_bytes, unit_size
+from .tables import definitions_of, number_under, raw_bytes, unit_size
 
 #: Bytes of a granule, by which accesses are matched; granules of one part of a wide access.
 GRANULE, PART = 8, 1 << 14
-#: Positions of one window in which a taint slice is read.
-WINDOW = 1 << 13
+#: Positions of one window in which a taint slice is read; those of many slices at once, and slices that a task walks at most.
+WINDOW, SLICES_WINDOW, TOGETHER = 1 << 13, 1 << 15, 4096
 
 
 def previous_write(writes: DataFrame, register: str, idx: int) -> DataFrame:
@@ -125,6 +128,81 @@ def taint_slice(instruction: DataFrame, writes: DataFrame, def_use: DataFrame, r
     return out.select("index", "address", "mnemonic", "operands", "hit_writes", "read_regs", "taint_before", "taint_after").orderBy(F.desc("index"))
 
 
+_STATE = "root long, defs array<long>, regs array<string>, tainted array<string>, taken int"
+_VISITED = "root long, index long, hit_writes array<string>, read_regs array<string>, taint_before array<string>, taint_after array<string>"
+
+
+def taint_slices(instruction: DataFrame, writes: DataFrame, def_use: DataFrame, roots: DataFrame, max_steps: int = 300, window: int = SLICES_WINDOW) -> DataFrame:
+    """(root, ...) as ``taint_slice``, for every row of ``roots`` (root, register, idx), whose numbers ``root`` differ.
+
+    All slices are walked at once, in rounds. What a slice still has to visit is one position for each register at
+    most; a round takes every slice through the window of positions that holds its next one, in a task for each
+    window and some thousands of slices, which is given the uses and definitions of that window alone. A slice ends
+    when nothing is left or it has ``max_steps`` instructions; what it has are then its newest ones, because whatever
+    leads to an instruction is newer than it. The driver counts slices and holds none."""
+    spark = instruction.sparkSession
+    wanted = roots.select("root", taint_register(F.col("register")).alias("reg"), (F.col("idx") + 1).alias("idx")).where("reg is not null and idx > 0")
+    # A last write is looked for among the writes of the registers asked for.
+    asked = F.broadcast(wanted.select(F.col("reg").alias("analysis_reg")).distinct())
+    first = definitions_of(wanted.select("idx", "reg").distinct(), writes.join(asked, "analysis_reg", "left_semi")).where("def_idx is not null")
+    one = F.array("reg")
+    state = wanted.join(first, ["idx", "reg"]).select("root", F.array("def_idx").alias("defs"), one.alias("regs"), one.alias("tainted"), F.lit(0).alias("taken"))
+    visited = scratch_folder(spark, "slices")
+    spark.createDataFrame([], _VISITED).write.parquet(visited)
+    state = saved(state.where(F.lit(max_steps > 0)), "slice-state")
+    while True:
+        at = F.array_max("defs")
+        state = state.withColumn("window", F.expr(f"array_max(defs) div {window}"))
+        windows = state.groupBy("window").agg(F.count("*").alias("n"))
+        ranges = ranges_of(windows.select("window"), window)
+        if not ranges:
+            break
+        # The slices of one window are dealt to parts, each with the window's uses.
+        windows = windows.withColumn("parts", F.expr(f"n div {TOGETHER} + 1"))
+        state = state.join(windows, "window").withColumn("part", F.pmod(F.xxhash64("root"), F.col("parts"))).select("window", "part", "root", "defs", "regs", "tainted", "taken", at.alias("at"))
+        uses = def_use.where(within(F.col("idx"), ranges)).withColumn("window", F.expr(f"idx div {window}"))
+        uses = uses.join(windows, "window").select("window", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "idx", "reg", "def_idx")
+
+        def walk(key: tuple, slices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            return _walk_window(int(key[0]) * window, slices, near, max_steps)
+
+        schema = f"{_VISITED}, {_STATE.removeprefix('root long, ')}"
+        round_ = saved(state.groupBy("window", "part").cogroup(uses.groupBy("window", "part")).applyInPandas(walk, schema), "slice-round")
+        round_.where("index is not null").select("root", "index", "hit_writes", "read_regs", "taint_before", "taint_after").write.mode("append").parquet(visited)
+        state = round_.where("index is null").select("root", "defs", "regs", "tainted", "taken")
+    found = spark.read.schema(_VISITED).parquet(visited)
+    known = instruction.select(F.col("idx").alias("index"), "address", "mnemonic", "operands")
+    return found.join(known, "index").select("root", "index", "address", "mnemonic", "operands", "hit_writes", "read_regs", "taint_before", "taint_after")
+
+
+def _walk_window(low: int, slices: pd.DataFrame, near: pd.DataFrame, max_steps: int) -> pd.DataFrame:
+    """Takes slices through one window of positions: a row for each instruction visited, one for what is left of a slice."""
+    uses: dict[int, list[tuple[str, int | None]]] = {}
+    # Positions in an array with gaps arrive as floating numbers, so gaps are told apart before.
+    for at, reg, before, some in zip(near["idx"].tolist(), near["reg"].tolist(), near["def_idx"].fillna(-1).astype("int64").tolist(), near["def_idx"].notna().tolist(), strict=True):
+        uses.setdefault(at, []).append((reg, before if some else None))
+    out = []
+    for root, defs, regs, tainted, taken in zip(*(slices[c].tolist() for c in ("root", "defs", "regs", "tainted", "taken")), strict=True):
+        waiting: dict[int, set[str]] = {}
+        for at, reg in zip(defs, regs, strict=True):
+            waiting.setdefault(int(at), set()).add(reg)
+        now = set(tainted)
+        while waiting and taken < max_steps and (at := max(waiting)) >= low:
+            hit, reads = waiting.pop(at), uses.get(at, [])
+            for reg, before in reads:
+                if before is not None:
+                    waiting.setdefault(before, set()).add(reg)
+            read = {reg for reg, _ in reads}
+            old, now = now, (now - hit) | read
+            taken += 1
+            out.append((root, at, sorted(hit), sorted(read), sorted(old), sorted(now), None, None, None, None))
+        if waiting and taken < max_steps:
+            left = [(at, reg) for at, names in waiting.items() for reg in names]
+            out.append((root, None, None, None, None, None, [at for at, _ in left], [reg for _, reg in left], sorted(now), taken))
+    frame = pd.DataFrame(out, columns=["root", "index", "hit_writes", "read_regs", "taint_before", "taint_after", "defs", "regs", "tainted", "taken"])
+    return frame.astype({"root": "int64", "index": "Int64", "taken": "Int32"})
+
+
 #: What ``provenance`` says besides its events.
 MESSAGES = {
     "position": "no such position", "no_load": "no load into the register near this position",

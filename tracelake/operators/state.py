@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.registers import display_order, displayed_registers
 from ..functions.u64 import LOW, to_hex
+from .lookup import ranges_of, within
 from .running import CHUNK, carried_last
 
 HIGH = ~LOW
+#: The place of a position that is asked for among the writes at it: behind all.
+ASKED = (1 << 31) - 1
 
 
 def _halves(value: Column, is_w: Column) -> tuple[Column, Column]:
@@ -45,6 +48,34 @@ def state_at(writes: DataFrame, idx: int, checkpoints: DataFrame | None = None,
     return found.select(F.col("state_reg").alias("register"), _joined(F.col("high"), F.col("low")).alias("value"))
 
 
+def states_at(writes: DataFrame, positions: DataFrame, checkpoints: DataFrame | None = None, interval: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """(idx, register, value): ``state_at`` for every position of ``positions`` (idx), each once.
+
+    Positions, writes and checkpoints become one sequence for each register and span between checkpoints, along which
+    values are carried; so work grows with the writes and positions of the spans asked for, and not with their pairs.
+    Of ``writes`` and ``checkpoints`` only these spans are read."""
+    wanted = positions.select("idx").where("idx >= 0").distinct()
+    high, low = _halves(F.col("value"), F.col("is_w"))
+    marks = writes.select("idx", "ordinal", F.col("state_reg").alias("register"), high.alias("high"), low.alias("low"))
+    if checkpoints is not None and interval:
+        wanted = wanted.withColumn("span", F.expr(f"idx div {interval}"))
+        spans = wanted.select("span").distinct()
+        ranges = ranges_of(spans, interval)
+        # A write at a checkpoint's own position is in the checkpoint already.
+        marks = marks.where(within(F.col("idx"), ranges)).withColumn("span", F.expr(f"idx div {interval}")).where(f"idx > span * {interval}").join(spans, "span", "left_semi")
+        own = checkpoints.where(within(F.col("idx"), ranges)).withColumn("span", F.expr(f"idx div {interval}")).join(spans, "span", "left_semi")
+        high, low = _halves(F.col("value"), F.lit(False))
+        marks = marks.unionByName(own.select("span", "idx", F.lit(-1).alias("ordinal"), "register", high.alias("high"), low.alias("low")))
+    else:
+        wanted, marks = wanted.withColumn("span", F.lit(0).cast("long")), marks.withColumn("span", F.lit(0).cast("long"))
+    none = F.lit(None).cast("long")
+    asked = wanted.join(marks.select("span", "register").distinct(), "span").select("span", "idx", F.lit(ASKED).alias("ordinal"), "register", none.alias("high"), none.alias("low"))
+    rows = marks.unionByName(asked)
+    seen = {"h": F.col("high"), "l": F.col("low"), "seen": F.when(F.col("ordinal") != ASKED, 1)}
+    found = carried_last(rows, ["span", "register"], "idx", ["idx", "ordinal"], seen, chunk=chunk).where((F.col("ordinal") == ASKED) & F.col("seen").isNotNull())
+    return found.select("idx", "register", _joined(F.col("h"), F.col("l")).alias("value"))
+
+
 def state_history(writes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``writes`` with ``state``: what the register holds after each write."""
     high, low = _halves(F.col("value"), F.col("is_w"))

@@ -143,6 +143,10 @@ class Trace:
     def state_at(self, idx: int) -> DataFrame:
         return state.state_at(self.register_write, idx, **self._checkpointed())
 
+    def states_at(self, positions: DataFrame) -> DataFrame:
+        """(idx, register, value) for every position of ``positions`` (idx)."""
+        return state.states_at(self.register_write, positions, **self._checkpointed())
+
     def state_for_display(self, idx: int) -> DataFrame:
         return state.state_for_display(self.register_write, idx, **self._checkpointed())
 
@@ -152,5 +156,9 @@ class Trace:
     def taint(self, register: str, idx: int, max_steps: int = TAINT_STEPS) -> DataFrame:
         return lineage.taint_slice(self.instruction, self.register_write, self.def_use, register, idx, max_steps)
 
+    def taints(self, roots: DataFrame, max_steps: int = TAINT_STEPS) -> DataFrame:
+        """The slices of many roots (root, register, idx) at once."""
+        return lineage.taint_slices(self.instruction, self.register_write, self.def_use, roots, max_steps)
+
     def provenance(self, register: str, idx: int, max_scan: int = PROVENANCE_SCAN, max_steps: int = PROVENANCE_STEPS) -> tuple[DataFrame, str]:
         return lineage.provenance(self.instruction, self.register_write, self.memory_access, self.def_use, register, idx, max_scan, max_steps, *self._index("memory_def_use", "bucket"))
