@@ -142,13 +142,13 @@ def data_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (log_instructions, log_memory_accesses, log_overlapping_writes, log_register_writes, log_find_first, log_data_search, log_sorted_page, data_provenance)}
 
 
-def _sql(body: str) -> str:
+def log_sql(body: str, recursive: bool = False) -> str:
     """DuckDB's SQL: ``t`` holds the instructions, ``m`` the memory accesses."""
     names = ["events", *(f"t{i}" for i in range(1, len(STEPS))), "t"]
     plain = lambda step: step.replace("LIST(", "list_value(").replace("HEX(", "to_hex(").replace("CHR(", "chr(").replace("N_EVENTS", "(SELECT count(*) FROM events)")
     steps = ",\n".join(f"{to} AS (SELECT {plain(step)} FROM {of})" for step, of, to in zip(STEPS, names, names[1:], strict=False))
     low = lambda text, n: _bytes(text, n).replace("HEX(", "to_hex(")
-    return f"""WITH {steps},
+    return f"""WITH {'RECURSIVE ' * recursive}{steps},
 m AS (
   SELECT i AS idx, 0 AS slot, CASE WHEN mnemonic[:2] = 'ld' THEN 'R' ELSE 'W' END AS kind,
          CASE r WHEN 3 THEN a - 4 WHEN 4 THEN s - 16 WHEN 5 THEN s - 14 WHEN 7 THEN a + 32 ELSE a + 16 END AS addr,
@@ -163,7 +163,7 @@ m AS (
 
 
 ORACLES: dict[str, str] = {
-    "log_instructions": _sql("""
+    "log_instructions": log_sql("""
 , every AS (
   SELECT CASE WHEN r = 7 THEN next ELSE here END AS file, i, 0 AS n, line FROM t
   UNION ALL SELECT next, i, unnest(range(1, len(more) + 1)), unnest(more) FROM t WHERE len(more) > 0
@@ -172,15 +172,15 @@ o AS (SELECT *, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY file ORD
 SELECT t.i AS idx, o.file_offset, address, offset_text AS "offset", mnemonic, operands, comment, (1 + len(more))::INTEGER AS n_lines,
   (CASE WHEN r IN (0, 3) THEN 0 WHEN r = 6 THEN 2 ELSE 1 END)::INTEGER AS n_changes, (CASE r WHEN 2 THEN 0 WHEN 6 THEN 2 ELSE 1 END)::INTEGER AS n_ops, (CASE r WHEN 7 THEN 2 ELSE 0 END)::INTEGER AS n_dumps
 FROM t JOIN o ON o.i = t.i AND o.n = 0"""),
-    "log_memory_accesses": _sql("SELECT * FROM m"),
-    "log_overlapping_writes": _sql("""
+    "log_memory_accesses": log_sql("SELECT * FROM m"),
+    "log_overlapping_writes": log_sql("""
 SELECT x.idx, x.slot, max(y.idx) AS write_idx, max_by(y.slot, (y.idx, y.slot)) AS write_slot
 FROM m AS x LEFT JOIN m AS y ON y.kind = 'W' AND y.idx < x.idx AND y.addr < x.addr + x.size AND x.addr < y.addr + y.size WHERE x.kind = 'R' GROUP BY ALL"""),
-    "log_register_writes": _sql("""
+    "log_register_writes": log_sql("""
 SELECT analysis_reg, count(DISTINCT i) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names
 FROM (SELECT i, unnest(CASE r WHEN 6 THEN ['FP', 'LR'] ELSE [CASE r WHEN 1 THEN 'X2' WHEN 2 THEN 'X3' WHEN 4 THEN 'SP' WHEN 5 THEN 'W5' ELSE 'X7' END] END) AS name,
         unnest(CASE r WHEN 6 THEN ['X29', 'X30'] ELSE [CASE r WHEN 1 THEN 'X2' WHEN 2 THEN 'X3' WHEN 4 THEN 'SP' WHEN 5 THEN 'X5' ELSE 'X7' END] END) AS analysis_reg FROM t WHERE r NOT IN (0, 3)) GROUP BY analysis_reg"""),
-    "log_find_first": _sql("""
+    "log_find_first": log_sql("""
 , h AS (SELECT (SELECT count(*) FROM events) // 2 AS half, (SELECT address FROM t WHERE i = 0) AS address, (SELECT offset_text FROM t WHERE i = 0) AS off_text),
 hits AS (
   SELECT h.address AS term, 'address' AS how, i FROM t, h WHERE t.address = h.address
@@ -188,13 +188,13 @@ hits AS (
   UNION ALL SELECT '7f0000007010', 'memory', idx FROM m WHERE starts_with(lower(to_hex(addr)), '7f0000007010')
   UNION ALL SELECT off_text[3:5], 'text', i FROM t, h WHERE contains(t.address, off_text[3:5]) OR contains(offset_text, off_text[3:5]))
 SELECT term, coalesce(min(i) FILTER (WHERE i >= half), min(i)) AS idx, how FROM hits, h GROUP BY ALL"""),
-    "log_data_search": _sql("""
+    "log_data_search": log_sql("""
 SELECT i AS index, i + 1 AS line, address AS instruction_address, offset_text AS "offset", mnemonic, mnemonic || ' ' || operands AS instruction_text, '内存Dump' AS match_scope,
   '0x' || lower(to_hex(a + 32)) AS memory_address, 'R:' || hv || ' (X7=' || hv || ' (string_hex: 73 3' || k % 10 || '))' AS data FROM t WHERE r = 7"""),
-    "log_sorted_page": _sql("""
+    "log_sorted_page": log_sql("""
 SELECT idx AS index, '0x' || lower(to_hex(addr)) AS memory_address
 FROM (SELECT idx, addr FROM m JOIN t ON t.i = m.idx WHERE starts_with(mnemonic, 'ldr') AND kind = 'R' ORDER BY addr DESC, idx LIMIT 10 OFFSET 10)"""),
-    "data_provenance": _sql("""
+    "data_provenance": log_sql("""
 , g AS (SELECT (SELECT count(*) FROM events) // 8 - 1 AS last),
 load AS (SELECT t.* FROM t, g WHERE i = 8 * last + 5), pair AS (SELECT t.* FROM t, g WHERE i = 8 * last + 4)
 SELECT 0 AS place, 'load' AS kind, i AS index, address AS instruction_address, mnemonic || ' ' || operands AS instruction_text, '0x' || lower(to_hex(s - 14)) AS memory_address, 2 AS memory_size,
