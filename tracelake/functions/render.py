@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .parse import spaced_hex
 from .patterns import ASSIGNMENT, STRING_HINT
-from .u64 import index_value, strip, unsigned
+from .u64 import index_value, let, strip, unsigned
 
 #: Where an address that isn't hexadecimal sorts.
 LAST = (1 << 63) - 1
@@ -52,7 +52,10 @@ def memory_value(raw: Column, panel: bool = False) -> Column:
 
 
 def value_with_detail(raw: Column) -> Column:
-    shown = memory_value(raw)
+    return let(memory_value(raw), _with_detail)
+
+
+def _with_detail(shown: Column) -> Column:
     return F.when((shown["detail"] == "") | (shown["detail"] == shown["value"]), shown["value"]).otherwise(F.concat(shown["value"], F.lit(" ("), shown["detail"], F.lit(")")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..functions.recipe import applied
 from ..functions.registers import analysis_register, is_w, read_registers, related, state_register, taint_register, width_bytes
 from ..functions.u64 import hex_text, hex_value, index_value, let, little_endian
 from .running import CHUNK, carried_last
@@ -92,7 +93,7 @@ def memory_accesses(instruction: DataFrame, slots: int | None = None) -> DataFra
         "idx", "mnemonic", "operands", F.col("o.slot").alias("slot"), F.when(F.col("o.type") == "read", "R").otherwise("W").alias("kind"),
         F.col("o.address").alias("address"), F.col("o.data_size").alias("size"), F.col("o.data_value").alias("data_value"),
     )
-    stores = with_store_bytes(base).withColumn("value_bytes", F.when(F.col("kind") == "W", F.col("value_bytes")))
+    stores = applied(base, with_store_bytes).withColumn("value_bytes", F.when(F.col("kind") == "W", F.col("value_bytes")))
     stores = stores.withColumn("source_registers", F.when(F.col("kind") == "W", F.col("source_registers"))).drop("mnemonic", "operands")
     dumps = instruction.select("idx", F.explode("memory_dump").alias("d")).select(
         "idx", F.col("d.slot").alias("slot"), F.when(F.col("d.is_modified"), "D*").otherwise("D").alias("kind"), F.col("d.address").alias("address"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.patterns import INITIAL_SP
+from ..functions.recipe import Recipe, applied
 from ..functions.u64 import index_value, strip
 
 
@@ -28,6 +29,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def classified(lines: DataFrame) -> DataFrame:
     """Adds what each line is (fields of an instruction, a stated operation, a dump line, a stack pointer), and the
     register changes and the memory operation that an instruction's line implies."""
+    return applied(lines, _classify)
+
+
+def _classify(lines: Recipe) -> Recipe:
     lines = lines.withColumn("is_sp", F.startswith(strip(F.col("line")), F.lit("Original SP:")))
     lines = lines.withColumn("op", F.when(~F.col("is_sp"), parse.stated_operation(F.col("line"))))
     lines = lines.withColumn("dump", F.when(~F.col("is_sp") & F.col("op").isNull(), parse.dump_line(F.col("line"))))
