@@ -20,8 +20,8 @@ from .trace import TAINT_STEPS, Trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Positions whose state is asked for: every one that this divides.
-EVERY = 997
+#: Positions whose state is asked for, and bytes whose instructions are: every one that this divides.
+EVERY, BYTES = 997, 1009
 
 
 def stored_trace(spark: SparkSession, sf_dir: str) -> Trace:
@@ -176,6 +176,14 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.withColumn("holds_middle", F.col("idx") == held)
 
 
+def instructions_at_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instructions at every 1009th byte of each file of the log and of what would be its next part, by the parts of files."""
+    trace = stored_trace(spark, sf_dir)
+    ends = trace.file_part.groupBy("path").agg((F.shiftleft(F.max("part") + 2, logs.PART_BITS) - 1).alias("end"))
+    found = trace.at_bytes(ends.select("path", F.explode(F.sequence(F.lit(0).cast("long"), "end", F.lit(BYTES).cast("long"))).alias("at")))
+    return found.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "at", "idx")
+
+
 def written_register_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.write_sets(stored_trace(spark, sf_dir).register_write)
     return rows.select("idx", F.array_join("writes", ",").alias("writes"))
@@ -190,8 +198,8 @@ def mentions_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     indexed_data_search, indexed_searches, indexed_find_next, deep_pages, nth_matches, saved_result_page, address_buckets, candidate_estimate, register_directory, last_write_of_read_bytes,
-    stored_provenance, states_at_positions, taint_of_many_roots, search_dispatch, register_sources, accesses_of_kinds, memory_panels, exported_lines, byte_offsets, written_register_sets,
-    mentions_of_addresses,
+    stored_provenance, states_at_positions, taint_of_many_roots, search_dispatch, register_sources, accesses_of_kinds, memory_panels, exported_lines, byte_offsets, instructions_at_bytes,
+    written_register_sets, mentions_of_addresses,
 )}
 
 #: Register writes of the log: (i, name, x: its name in data flow, val, is_w).
@@ -204,6 +212,14 @@ _WRITES = """
   UNION ALL SELECT i, 'LR', 'X30', 0, false FROM t WHERE r = 6)"""
 _HALF, _OFFSET = "(SELECT count(*) // 2 FROM events)", "(SELECT offset_text FROM t WHERE i = 0)"
 _HEX = "lower(to_hex({}))".format
+#: Lines of the log: (file, i: the instruction that they belong to, n, file_offset, size).
+_PLACES = """
+, every AS (
+  SELECT CASE WHEN r = 7 THEN next ELSE here END AS file, i, 0 AS n, line FROM t
+  UNION ALL SELECT next, i, unnest(range(1, len(more) + 1)), unnest(more) FROM t WHERE len(more) > 0
+  UNION ALL SELECT 0, -1, 0, 'Original SP: 0x7fd0'),
+l AS (SELECT *, octet_length(encode(line)) + 1 AS size FROM every),
+o AS (SELECT file, i, n, size, (sum(size) OVER (PARTITION BY file ORDER BY i, n) - size)::BIGINT AS file_offset FROM l)"""
 _RANKED = """
 , f AS (SELECT mnemonic, min(i) AS place FROM t WHERE starts_with(mnemonic, '{}') GROUP BY ALL),
 o AS (SELECT t.*, row_number() OVER (ORDER BY place, i) - 1 AS number, count(*) OVER () AS n FROM t JOIN f USING (mnemonic))"""
@@ -275,15 +291,14 @@ SELECT i AS idx, concat('*0x', {_HEX("a + 32")}, '  41 42 ', lpad({_HEX("k % 256
 SELECT 'tsv' AS form, concat(i, chr(9), mnemonic, chr(9), '0x', {_HEX("a - 4")}) AS line FROM t WHERE r = 3
 UNION ALL SELECT 'fixed', concat(rpad((i + 1)::VARCHAR, 6, ' '), ' ', rpad(address[:14], 14, ' '), ' ', rpad(offset_text[:10], 10, ' '), ' ', rpad(mnemonic, 8, ' '), ' ', rpad(operands[:40], 40, ' '), ' ', comment)
 FROM t WHERE i < 40"""),
-    "byte_offsets": _sql("""
-, every AS (
-  SELECT CASE WHEN r = 7 THEN next ELSE here END AS file, i, 0 AS n, line FROM t
-  UNION ALL SELECT next, i, unnest(range(1, len(more) + 1)), unnest(more) FROM t WHERE len(more) > 0
-  UNION ALL SELECT 0, -1, 0, 'Original SP: 0x7fd0'),
-o AS (SELECT i, n, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY file ORDER BY i, n) - octet_length(encode(line)) - 1)::BIGINT AS file_offset FROM every),
+    "byte_offsets": _sql(_PLACES + """,
 h AS (SELECT i, file_offset, lead(file_offset) OVER (ORDER BY i) AS next_file_offset FROM o WHERE n = 0 AND i BETWEEN 0 AND 99)
 SELECT i AS idx, file_offset, next_file_offset, i = (SELECT max(i) FROM h WHERE file_offset <= (SELECT max(file_offset) // 2 FROM h WHERE next_file_offset IS NOT NULL)) AS holds_middle
 FROM h WHERE next_file_offset IS NOT NULL"""),
+    "instructions_at_bytes": _sql(_PLACES + f""",
+e AS (SELECT file, ((max(file_offset + size) - 1) // 1048576 + 2) * 1048576 AS past FROM o GROUP BY ALL),
+asked AS (SELECT file, unnest(range(0, past, {BYTES})) AS place FROM e)
+SELECT asked.file::BIGINT AS file, place::BIGINT AS "at", CASE WHEN i >= 0 THEN i END AS idx FROM asked ASOF JOIN o ON o.file = asked.file AND o.file_offset <= place"""),
     "written_register_sets": _sql(_WRITES + "SELECT i AS idx, string_agg(x, ',' ORDER BY x) AS writes FROM w GROUP BY ALL"),
     "mentions_of_addresses": _sql(f"""
 , f AS (SELECT DISTINCT idx FROM m WHERE contains({_HEX("addr")}, '7f00000070'))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.render import memory_panel
-from ..operators import lineage, pages, search, state
+from ..operators import lineage, offsets, pages, search, state
 from ..operators.derived import DERIVED
 from ..sources import logs, store
 
@@ -42,7 +42,7 @@ class Trace:
         return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in DERIVED or name == "checkpoint" and self.stored:
+        if name in DERIVED or name in ("checkpoint", "file_part") and self.stored:
             return self.table(name)
         raise AttributeError(name)
 
@@ -70,6 +70,14 @@ class Trace:
         """The instruction on a line, counted from 1; no row out of range."""
         return self.at(number - 1)
 
+    def at_byte(self, offset: int, path: str | None = None) -> DataFrame:
+        """(idx) of the instruction that a byte of a log file belongs to: of the first file if none is named."""
+        return offsets.instruction_at(self.instruction, self.file_part, offset, path) if self.stored else logs.instruction_at_offset(self.instruction, offset)
+
+    def at_bytes(self, asked: DataFrame) -> DataFrame:
+        """(path, at, idx) for every byte ``at`` of a log file of ``asked`` (path, at), by the parts of a store's files."""
+        return offsets.instructions_at(self.instruction, self.file_part, asked)
+
     def memory_panel(self, idx: int) -> DataFrame:
         return self.at(idx).select(memory_panel(F.col("memory_ops"), F.col("memory_dump"), F.col("raw_line")).alias("text"))
 

@@ -8,6 +8,7 @@ TABLES = {
     "instruction": f"idx long, file_offset long, address string, offset string, offset_val long, mnemonic string, operands string, comment string, raw_line string, register_changes array<{CHANGE}>, memory_ops array<{OPERATION}>, memory_dump array<{DUMP}>, raw_lines array<string>",
     "register_write": "idx long, ordinal int, register string, state_reg string, analysis_reg string, is_w boolean, value long",
     "memory_access": "idx long, slot int, kind string, addr long, addr_hex string, bucket string, size int, address string, data_value string, value_bytes string, source_registers array<string>",
+    "file_part": "path string, part long, first_idx long, last_idx long",
     "register": "analysis_reg string, n long, first_idx long, last_idx long",
     "bucket": "bucket string, n long, n_writes long, lowest long, highest long, widest int, first_idx long, last_idx long",
     "memory_def_use": "idx long, slot int, at long, last_writes array<struct<write_idx:long,write_slot:int>>",

@@ -18,12 +18,15 @@ from ..functions.patterns import INITIAL_SP
 from ..functions.recipe import Recipe, applied
 from ..functions.u64 import index_value, strip
 
+#: A part of a file has so many bytes, two to this power.
+PART_BITS = 20
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, file_offset, split, at, ...) of every line, in the order of (split, at)."""
+    """(line, split, at, size) of every line, in the order of (split, at); its size counts its end."""
     lines = spark.read.option("lineSep", "\n").text(path)
     split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    return lines.select(F.col("value").alias("line"), split.alias("split"), F.monotonically_increasing_id().alias("at"))
+    return lines.select(F.col("value").alias("line"), split.alias("split"), F.monotonically_increasing_id().alias("at"), (F.octet_length("value").cast("long") + 1).alias("size"))
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -44,12 +47,11 @@ def _classify(lines: Recipe) -> Recipe:
 
 def placed(lines: DataFrame) -> DataFrame:
     """Adds ``file_offset`` and ``idx``, the position of the instruction that a line is or belongs to (-1: none)."""
-    size = F.octet_length("line").cast("long") + 1
     head = F.when(F.col("fields").isNotNull(), 1).otherwise(0).cast("long")
     inside = Window.partitionBy("split").orderBy("at")
-    lines = lines.withColumn("_bytes", F.sum(size).over(inside) - size).withColumn("_heads", F.sum(head).over(inside))
+    lines = lines.withColumn("_bytes", F.sum("size").over(inside) - F.col("size")).withColumn("_heads", F.sum(head).over(inside))
     # One row for each split: its sums, then the sums of those before it. A file's offsets begin anew.
-    sums = lines.groupBy("split").agg(F.sum(size).alias("_size"), F.sum(head).alias("_n"))
+    sums = lines.groupBy("split").agg(F.sum("size").alias("_size"), F.sum(head).alias("_n"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("split.path").orderBy("split.start").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("split").alias("_split"), F.coalesce(F.sum("_size").over(in_file), F.lit(0)).alias("_first"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -57,6 +59,14 @@ def placed(lines: DataFrame) -> DataFrame:
     return joined.withColumns({"file_offset": F.col("_first") + F.col("_bytes"), "idx": F.col("_before") + F.col("_heads") - 1}).drop("_bytes", "_heads", "_split", "_first", "_before")
 
 
+def file_parts(lines: DataFrame) -> DataFrame:
+    """The table ``file_part`` of placed lines: for each PART bytes of each file, the positions of the instructions that
+    the first and the last line there belong to (-1: to none). A line counts in every part that it has a byte in."""
+    part = lambda at: F.shiftright(at, PART_BITS)
+    parts = F.sequence(part(F.col("file_offset")), part(F.col("file_offset") + F.col("size") - 1))
+    return lines.select(F.col("split.path").alias("path"), F.explode(parts).alias("part"), "idx").groupBy("path", "part").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
 def initial_sp(lines: DataFrame) -> DataFrame:
     """One row (initial_sp): what the last ``Original SP`` line says, or null."""
     found = F.regexp_extract(F.col("line"), INITIAL_SP, 1)
@@ -89,14 +99,20 @@ def instructions(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_trace(spark: SparkSession, path: str, aside: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The table ``instruction`` and the one row (initial_sp) of a log file or folder of log files.
+def parsed(spark: SparkSession, path: str, aside: str | None = None) -> DataFrame:
+    """The classified lines of a log file or folder of log files.
 
-    ``aside``: a folder for the parsed lines, which are needed twice; without it they are parsed twice."""
+    ``aside``: a folder that they are written to, as they are needed twice; without it they are parsed twice."""
     lines = classified(read_lines(spark, path))
     if aside:
         lines.write.option("compression", "zstd").parquet(aside)
         lines = spark.read.schema(lines.schema).parquet(aside)
+    return lines
+
+
+def read_trace(spark: SparkSession, path: str, aside: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table ``instruction`` and the one row (initial_sp) of a log file or folder of log files; see ``parsed``."""
+    lines = parsed(spark, path, aside)
     return instructions(placed(lines)), initial_sp(lines)
 
 

@@ -3,7 +3,7 @@
 A store is a folder of generations. Each build writes a new folder and names it in a manifest that is
 written last, so readers see a whole generation or none. A manifest carries the log's fingerprint
 (files, sizes, times of change), the format's version and the checkpoint spacing; if any differs, all is
-built anew. The instructions are written then; the tables and indexes that follow from them are written when
+built anew. The instructions and the parts of the files are written then; the tables and indexes that follow from them are written when
 they are first asked for, each under another name and renamed when it is whole. Paths are read and written by
 Spark and Hadoop alone, so any file system will do."""
 
@@ -20,9 +20,9 @@ from ..operators import state
 from ..operators.derived import DERIVED
 from ..schema import TABLES
 from .files import files_of, move, remove
-from .logs import read_trace
+from .logs import file_parts, initial_sp, instructions, parsed, placed
 
-VERSION = 3
+VERSION = 4
 #: Checkpoint spacing by the size of the log: up to so many bytes, positions between two checkpoints.
 SPACING = ((512 << 20, 500), (2 << 30, 2000), (8 << 30, 5000), (16 << 30, 10000))
 WIDEST_SPACING = 20000
@@ -31,8 +31,10 @@ ORDER = {
     "instruction": ["idx"], "register_write": ["analysis_reg", "idx", "ordinal"], "memory_access": ["addr_hex", "idx", "slot"],
     "by_offset": ["offset_val", "idx"], "by_mnemonic": ["mnemonic", "idx"], "checkpoint": ["idx", "register"], "mnemonic": ["first_idx"], "def_use": ["idx", "reg"],
     "register": ["analysis_reg"], "bucket": ["bucket"], "memory_def_use": ["idx", "slot", "at"], "by_address": ["address", "idx"], "offset_rank": ["offset_val", "chunk"],
-    "mnemonic_rank": ["mnemonic", "chunk"], "by_gram": ["gram", "block"], "gram": ["gram"],
+    "mnemonic_rank": ["mnemonic", "chunk"], "by_gram": ["gram", "block"], "gram": ["gram"], "file_part": ["path", "part"],
 }
+#: Instructions in a file, at least.
+FILE_ROWS = 50_000
 #: Columns of tables whose row groups carry Bloom filters as well.
 BLOOM = {"by_address": "address", "by_gram": "gram"}
 
@@ -75,9 +77,16 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     files.rename(fs.makeQualified(aside), fs.makeQualified(where), overwrite)
 
 
-def save(df: DataFrame, name: str, path: str) -> DataFrame:
-    """A table in its order, and read from there."""
-    writer = df.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name]).write.option("compression", "zstd")
+def by_position(df: DataFrame, count: int) -> DataFrame:
+    """Rows whose ``idx`` is below ``count`` in equal ranges of it; so nothing is read first to find the ranges."""
+    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // FILE_ROWS)))
+    return df.repartitionById(n, F.expr(f"cast(idx * {n} div {max(1, count)} as int)"))
+
+
+def save(df: DataFrame, name: str, path: str, count: int | None = None) -> DataFrame:
+    """A table in its order, and read from there. ``count``: of instructions, where there is one row for each."""
+    ranges = df.repartitionByRange(*ORDER[name]) if count is None else by_position(df, count)
+    writer = ranges.sortWithinPartitions(*ORDER[name]).write.option("compression", "zstd")
     (writer.option(f"parquet.bloom.filter.enabled#{BLOOM[name]}", True) if name in BLOOM else writer).parquet(path)
     return df.sparkSession.read.schema(TABLES[name]).parquet(path)
 
@@ -106,15 +115,16 @@ class Tables(dict):
 
 
 def build(spark: SparkSession, log: str, store: str, spacing: int | None = None) -> dict:
-    """Reads a log and writes its instructions; returns the manifest."""
+    """Reads a log and writes its instructions and where they are in its files; returns the manifest."""
     known = fingerprint(spark, log)
     spacing = spacing or checkpoint_spacing(known["size"])
     folder = f"{store}/{uuid.uuid4().hex}"
-    instruction, sp = read_trace(spark, log, f"{folder}/lines")
-    initial_sp = sp.first()[0]
-    last = save(instruction, "instruction", f"{folder}/instruction").agg(F.max("idx")).first()[0]
+    lines = parsed(spark, log, f"{folder}/lines")
+    sp = initial_sp(lines).first()[0]
+    last = save(file_parts(placed(lines)), "file_part", f"{folder}/file_part").agg(F.max("last_idx")).first()[0]
     count = 0 if last is None else last + 1
-    manifest = {"version": VERSION, "log": known, "spacing": spacing, "count": count, "initial_sp": initial_sp, "folder": folder}
+    save(instructions(placed(lines)), "instruction", f"{folder}/instruction", count)
+    manifest = {"version": VERSION, "log": known, "spacing": spacing, "count": count, "initial_sp": sp, "folder": folder}
     _write_text(spark, f"{store}/manifest.json", json.dumps(manifest))
     remove(spark, f"{folder}/lines")
     return manifest
