@@ -120,8 +120,10 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     largest component, most of whose pairs are inside it, no pair is sought from both sides."""
     chosen = materialise(nodes.join(sets, "cid").select("cid", "component", "hashes"), "chosen")
     words = chosen.select("cid", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("shingle"))
-    often = words.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = words.join(often, "shingle").groupBy("cid", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    # Written first, so that the join can be split where a shingle is in most of the sets.
+    often = materialise(words.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    counted = words.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = counted.groupBy("cid", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
     keep = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1
     first = ranked.select("cid", "component", "n", F.posexplode(F.slice("all", F.lit(1), keep)).alias("at", "one")).select("cid", "component", "n", "at", "one.shingle", "one.often")
     first = materialise(first.where("often > 1").drop("often"), "prefixes")
@@ -142,8 +144,9 @@ def _named_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = rows.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("rep", F.col("first.row"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    # Most buckets have one member; only the others are looked at again.
-    shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
+    # Most buckets have one member; only the others are looked at again. What is joined on a bucket is written
+    # first, here and below: a large group's bucket has most of the rows, and joins of two plain exchanges can be split.
+    shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "shared")
     members = materialise(members.join(shared, "bucket"), "buckets")
     degree = members.groupBy("cid").agg(F.sum("many").alias("degree"))
     wanted = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
@@ -152,13 +155,13 @@ def _named_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     centre = F.max(F.struct("degree", (-F.col("cid")).alias("least"), F.col("n").alias("m"))).alias("centre")
-    centres = members.join(degree, "cid").groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.least")).alias("b"), "centre.m")
+    centres = materialise(members.join(degree, "cid").groupBy("bucket").agg(centre).select("bucket", (-F.col("centre.least")).alias("b"), "centre.m"), "centres")
     tried = materialise(members.withColumnRenamed("cid", "a").join(centres, "bucket").where(fits).select(*pair).distinct(), "pairs")
     links = connected(confirmed(tried, sets, percent))
 
     named = members.join(links, "cid", "left").select("bucket", "cid", "n", "many", F.coalesce("component", "cid").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    named = materialise(named.join(mixed, "bucket"), "mixed")
+    named = materialise(named.join(materialise(mixed, "mixed"), "bucket"), "named")
     few = named.where(F.col("many") <= SMALL)
     others = few.select("bucket", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     few = few.withColumnRenamed("cid", "a").join(others, "bucket").where(fits & (F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))).select("a", "b")
