@@ -4,15 +4,16 @@ Vectors are scaled to length one and cut into two halves; k-means on a bounded s
 its centroids, whose number grows with the fourth root of the entries, and a vector's cell is its pair
 of nearest centroids. A query visits cells in order of the sum of both halves' squared distances, which
 a heap yields without sorting all pairs, until they hold as many entries as a calibration on a few
-queries asks for; every entry of a visited cell is scored exactly. Entries lie in blocks of neighbouring
-cells; a cell with many entries is spread over several. A query goes to the blocks of its cells. Where a
+queries asks for; every entry of a visited cell is scored exactly. Of equal vectors only those rows are
+entries that can be among some query's best, so a hot vector costs no more than any other. Entries lie in
+blocks of neighbouring cells; a cell with many entries is spread over several. A query goes to the blocks of its cells. Where a
 block has many queries, they are dealt to chunks and the block is sent to each of its own chunks, so no
 task holds an unbounded number of either, and nothing is sent where no query looks.
 
 Defined cases
 - null or zero vectors, or ones with null or non-finite components, take no part; so do vectors of
   another than the most frequent dimension (the smaller one of two equally frequent).
-- Null ids take no part. Equal ids: entries of their own; a query's own row is every row of its id.
+- Null ids take no part. Equal ids: candidates of their own; a query's own row is every row of its id.
 - Fewer than ``k`` candidates: all. Ties go to the smaller id. Empty table: no rows.
 """
 
@@ -46,6 +47,17 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (sizes["d"] if sizes else 0))
 
 
+def least_rows(vectors: DataFrame, k: int) -> DataFrame:
+    """Of each vector the rows (id, vector) that can be among a query's best ``k``: ``k`` rows of each of its ``k`` + 1
+    smallest ids. Ties go to the smaller id and only one id is the query's own, so no other row ever is.
+
+    Both steps leave out rows before they are shuffled, however many a vector or an id has."""
+    each = vectors.groupBy("vector", "id").agg(F.count("*").alias("copies"))
+    order = Window.partitionBy("vector").orderBy("id")
+    each = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    return each.select("id", "vector", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -210,13 +222,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, visits: int | None
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row (id, vector) that ``is_query`` picks.
 
     ``visits``: entries that a query visits at least; calibrated for a recall of RECALL if not given."""
-    n = in_small_batches(vectors).count()
-    centroids = fit_centroids(vectors, n, k_centroids or centroids_for(n))
-    entries = materialise(with_cells(vectors, centroids), "entries")
+    rows = materialise(least_rows(in_small_batches(vectors), k), "rows")
+    n = rows.count()
+    centroids = fit_centroids(rows, n, k_centroids or centroids_for(n))
+    entries = with_cells(rows, centroids)
     counts = np.zeros(len(centroids[0]) * len(centroids[1]), np.int64)
     for r in entries.groupBy("cell").count().collect():  # one row for each cell, as many as the square root of the entries
         counts[r["cell"]] = r["count"]
-    queries = entries.where(is_query)
+    queries = vectors.where(is_query)
     if visits is None:
         visits = calibrated_visits(entries, queries, centroids, counts, k)
     sent = vectors.sparkSession.sparkContext.broadcast((centroids, counts, *blocks_of(counts)))
