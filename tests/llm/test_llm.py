@@ -169,6 +169,26 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert row[0] > row[1]
 
 
+def test_how_models_mix_is_set_on_every_training_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", 20)
+    rows = docs(spark, corpus(60))
+    learnt = rows.where(~lm.held_out(F.col("doc_id"))).persist()
+    counted = token_counts.frequencies(learnt, lm.words).persist()
+    given, plain = [], lm.best_share
+    monkeypatch.setattr(lm, "best_share", lambda texts, *rest: given.append(texts.count()) or plain(texts, *rest))
+    scorer = lm.fit(rows, counted, learnt.count())
+    assert given == [learnt.count()]
+    texts = [words_of(r.text) for r in learnt.collect()]
+    count = Counter(w for t in texts for w in [*t, None])
+    hot, logs, _ = scorer.by_parts(texts)
+    left = np.array([count[w] - 1 for t in texts for w in [*t, None]]) / (scorer.total - 1)
+    assert 0 < (hot < 0).sum() < len(hot) and scorer.total == len(hot)
+    want = [np.where(left > 0, np.log(s * np.maximum(left, 1e-9) + (1 - s) * np.exp(logs)), math.log1p(-s) + logs).sum() for s in lm.SHARES]
+    assert scorer.share == lm.SHARES[int(np.argmax(want))]
+    monkeypatch.setattr(lm, "SHARES", [scorer.share])
+    assert lm.best_share(learnt, counted, scorer) == scorer.share and lm.best_share(learnt.limit(0), counted, scorer) == 0.5
+
+
 def test_lm_windows_score_each_subword_once():
     r = np.random.default_rng(1)
     model = attention.untrained(r.integers(0, 9, lm.VOCABULARY_SIZE), lm.word_starts())
