@@ -179,3 +179,16 @@ def test_stored_tables_appear_when_asked_for(spark, tmp_path):
     assert again.count_by_offset("0x1d48").first()[0] == 1 and set(store.TABLES) >= set(store.ORDER)
     with pytest.raises(AttributeError):
         _ = plain.checkpoint
+
+
+def test_parts_of_files_are_read_from_the_log_when_asked_for(spark, tmp_path):
+    (tmp_path / "log.txt").write_text(GOLDEN)
+    log = str(tmp_path / "log.txt")
+    trace, late = (Trace.open(spark, log, str(tmp_path / s)) for s in ("s", "late"))
+    folder = next(p for p in (tmp_path / "s").iterdir() if p.is_dir())
+    assert trace.count() == trace.instruction.count() and not (folder / "file_part").exists()
+    assert trace.file_part.agg(F.min("first_idx"), F.max("last_idx")).first()[1] == trace.count() - 1
+    assert {p.name for p in folder.iterdir()} == {"instruction", "file_part"}
+    (tmp_path / "log.txt").write_text(GOLDEN + GOLDEN)
+    with pytest.raises(ValueError, match="changed"):
+        _ = late.file_part
