@@ -208,6 +208,37 @@ def test_lm_windows_score_each_subword_once():
             assert math.isclose(border[begin + i], ended[0, -1], rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_context_is_not_predicted_again(monkeypatch):
+    r = np.random.default_rng(1)
+    model = attention.untrained(r.integers(0, 9, lm.VOCABULARY_SIZE), lm.word_starts())
+    rows, plain = [], attention.Attention._heads
+    monkeypatch.setattr(attention.Attention, "_heads", lambda self, h, *rest: rows.append(len(h)) or plain(self, h, *rest))
+    attention.log_probs(model, r.integers(0, 1000, 100), np.array([100]), lm.END)
+    fresh = attention.WINDOW - attention.CONTEXT
+    assert sum(rows) == attention.WINDOW + fresh * -(-(100 - attention.WINDOW) // fresh)
+
+
+def test_log_sums_are_those_of_single_words():
+    r = np.random.default_rng(2)
+    sizes = np.array([1, 16, 0, 17, 300])
+    known, likely = r.random(sizes.sum()) * 1e-9 + 1e-12, np.exp(-40 * r.random(sizes.sum()))
+    have = lm.log_sums(known, likely, sizes, lm.SHARES)
+    for row, begin, end in zip(have, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+        want = [np.log(s * known[begin:end] + (1 - s) * likely[begin:end]).sum() for s in lm.SHARES]
+        assert np.allclose(row, want, rtol=1e-12, atol=1e-9)
+
+
+def test_texts_are_attended_to_once(spark):
+    rows = docs(spark, corpus(60))
+    # The attention's logarithms were written when the share was set: what is left are joins and sums of them.
+    assert "MapInArrow" not in lm.lm_scores(rows)._jdf.queryExecution().toString()
+    learnt = rows.where(~lm.held_out(F.col("doc_id")))
+    counted = token_counts.frequencies(learnt, lm.words).persist()
+    scorer, found, rare = lm.fit_and_attend(rows, counted, learnt.count())
+    assert found.count() == rows.count()
+    assert scorer.share == lm.best_share(learnt, counted, scorer) == lm.best_share(found.where("learnt"), counted, scorer, rare)
+
+
 def test_attention_learns_from_every_training_text(spark):
     rows = docs(spark, corpus()).withColumn("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")))
     rows = rows.unionByName(rows.limit(7)).repartition(5).select("text")
