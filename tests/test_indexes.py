@@ -2,7 +2,9 @@
 
 import functools
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -192,3 +194,76 @@ def test_parts_of_files_are_read_from_the_log_when_asked_for(spark, tmp_path):
     (tmp_path / "log.txt").write_text(GOLDEN + GOLDEN)
     with pytest.raises(ValueError, match="changed"):
         _ = late.file_part
+
+
+def runs_by_brute_force(rows):
+    """{(run, block)} of (idx, lines)."""
+    return {(line[i : i + 4], idx // 64) for idx, lines in rows for line in lines for i in range(len(line) - 3)}
+
+
+def test_index_over_text_is_made_where_lines_are_read(spark):
+    r = random.Random(4)
+    some = ["", "abc", "abcd", "Ωmega ≤ 0x12", "tab\there", "日本語のテキスト", "x" * 9, "0x7f00 0x7f01"]
+    rows = [(i, [r.choice(some) + f"{r.randrange(4096):x}" * r.randrange(3) for _ in range(r.randrange(4))]) for i in range(700)] + [(70_000, ["far off"]), (1 << 40, ["farther"])]
+    lines = spark.createDataFrame(rows, "idx long, raw_lines array<string>")
+    index = grams.by_gram(lines.coalesce(1))
+    flat = [(r.gram, r.block + at) for r in index.collect() for at in r.within]
+    assert set(flat) == runs_by_brute_force(rows)
+    plan = grams.by_gram(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Explode" not in plan
+    # One row for a run among 1,024 blocks, and the same by small batches and pieces of text.
+    assert len({(r.gram, r.block) for r in index.collect()}) == index.count() <= len(runs_by_brute_force([(0, lines) for _, lines in rows])) + 12
+    counts = {r["gram"]: r["n"] for r in grams.gram_counts(index).collect()}
+    assert counts == Counter(run for run, _ in set(flat)) and len(flat) == len(set(flat))
+
+
+@pytest.mark.parametrize("piece", [1, 50, 1 << 20])
+def test_runs_of_batches_and_pieces(monkeypatch, piece):
+    monkeypatch.setattr(grams, "PIECE", piece)
+    rows = [(i, [f"0x{i * 7919:x} = é{i}", "", "ab", f"{i:05d}"][: i % 5]) for i in range(300)]
+    batches = [pa.record_batch([pa.array([i // 64 for i, _ in part], pa.int64()), pa.array([x for _, x in part], pa.list_(pa.string()))], ["block", "raw_lines"]) for part in (rows[:10], rows[10:100], rows[100:])]
+    found = [(row["gram"], row["block"] + at) for b in grams._indexed(iter(batches)) for row in b.to_pylist() for at in row["within"]]
+    assert set(found) == runs_by_brute_force(rows) and len(found) == len(set(found))
+
+
+def test_bytes_that_are_no_text_are_indexed_around(spark):
+    lines = spark.range(1).selectExpr("id AS idx", "array(concat('0x12', cast(X'ff' AS string), 'value'), concat(cast(X'e2' AS string), 'tail')) AS raw_lines")
+    assert {r.gram for r in grams.by_gram(lines).select("gram").collect()} == {"0x12", "valu", "alue", "tail"}
+
+
+STATES = """Original SP: 0x7fd0
+[m 0x10] 0x1000: "str w1, [x2]" x2=0x7fc0 w1=4660 => x2=0x7fc0
+[m 0x14] 0x1004: "ldr x3, [x2]" x2=0x7fc0 => x3=0x1234
+note 0x1234 here
+[m 0x18] 0x1008: "add x1, x1, #1" x1=1 => x1=2
+note 0x1234 and 0x7fd8 here
+[m 0x1c] 0x100c: "str x1, [x2]" x2=0x7fc0 x1=0x5 => x2=0x7fc0
+memory write at 0x7fc0, instruction address = 0x100c, data size = 2, data value = 3412
+note 0x1234 here
+[m 0x20] 0x1010: "str x4, [x2]" x2=0x7fc0 => x4=4660
+note 0x1234 here
+*7fc0 34 12 |4.|
+"""
+
+
+def test_listing_waits_with_what_lines_imply(spark, tmp_path):
+    (tmp_path / "log.txt").write_text(GOLDEN + STATES)
+    whole = Trace.open(spark, str(tmp_path / "log.txt"), str(tmp_path / "s"))
+    trace = Trace.open(spark, str(tmp_path / "log.txt"), str(tmp_path / "late"), effects=False)
+    folder = next(p for p in (tmp_path / "late").iterdir() if p.is_dir())
+    assert {p.name for p in folder.iterdir()} == {"listing"} and trace.initial_sp == whole.initial_sp and trace.count() == whole.count()
+    plain = Trace.of(whole.instruction)
+    for term in ("0x1234", "1234", "0x1235", "0x7fd8", "34 12", "here", "x2", "0x5", "no such text", "3412", "0x7fc0"):
+        want = sorted(r["index"] for r in whole.all_by_data(term).collect())
+        for t in (trace, whole, plain):
+            assert sorted(r["idx"] for r in t.places_by_data(term).collect()) == want, term
+    # A decimal of an instruction's registers is hexadecimal in what it stores: no line of its own has that.
+    assert 8 in [r["idx"] for r in trace.places_by_data("0x1234").collect()] and 6 not in [r["idx"] for r in trace.places_by_data("0x7fd8").collect()]
+    with pytest.raises(ValueError, match="value or text"):
+        trace.places_by_data(" ")
+    assert {p.name for p in folder.iterdir()} == {"listing", "by_gram", "gram"}
+    have, want = (sorted(map(str, t.instruction.collect())) for t in (trace, whole))
+    assert have == want and trace.instruction.schema == whole.instruction.schema
+    assert {p.name for p in folder.iterdir()} == {"listing", "by_gram", "gram", "instruction"}
+    again = Trace.open(spark, str(tmp_path / "log.txt"), str(tmp_path / "late"))
+    assert [r["index"] for r in again.all_by_data("0x1235").collect()] == [r["index"] for r in whole.all_by_data("0x1235").collect()]
