@@ -127,6 +127,16 @@ def test_gradients_are_those_of_the_loss(trained):
             assert math.isclose((up - down) / (2 * float(step)), gradient.flat[at], rel_tol=0.03, abs_tol=2e-4), name
 
 
+def test_states_are_bounded_where_they_have_to_be(trained):
+    model, ids = trained[0].of_rows(trained[0].rows()), np.random.default_rng(5).integers(0, 2000, (3, 7))
+    assert model.states(ids)[-2] is None
+    model.embed *= 100 * float(model.most()) / np.abs(model.embed[ids]).max()
+    *_, free, h = model.states(ids)
+    assert np.array_equal(free, np.abs(h[:, : attention.WIDTH]) < model.most()) and 0 < free.sum() < free.size and np.abs(h[:, : attention.WIDTH]).max() == model.most()
+    found = model.gradients(ids, np.roll(ids, -1, axis=1), np.ones(ids.shape, bool))
+    assert all(np.isfinite(g).all() for name, g in found.items() if name != "embed") and np.isfinite(found["embed"][1]).all()
+
+
 def test_a_score_is_the_logarithm_of_a_probability(trained):
     model, hot = trained
     total = int(hot.counts.sum())
